@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .quality_rules import RULES, STOP_WORDS, quality_rules
 from .sharding import kd_shards
+from .simhash import simhash_components
 from .token_counts import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +67,8 @@ FROM f
 @query
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards(table(spark, sf_dir, "documents"), shards=24)
+
+
+@query
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents"))
