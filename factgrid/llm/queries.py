@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .byte_bpe import byte_bpe, digests
 from .common import table
+from .line_dedup import line_dedup
 from .packing import pack
 from .quality_rules import RULES, STOP_WORDS, quality_rules
 from .sharding import kd_shards
@@ -90,3 +91,35 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         finish=digests,
         schema="n_tokens long, ids_sha256 string, decoded_sha256 string",
     )
+
+
+@query
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup(docs, min_words=50, counts=("n_lines", "n_deleted_lines"))
+
+
+#: Windows of whole lines with 50 words that need their last or their first line; those with an earlier equal are deleted.
+LINE_DEDUP_SQL = r"""
+lines AS (
+  SELECT doc_id, i, ls[i] AS line, len(list_filter(string_split_regex(ls[i], '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS words
+  FROM (SELECT doc_id, ls, unnest(generate_series(1, len(ls))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM {docs}))),
+sums AS (SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM lines),
+spans AS (
+  SELECT a.doc_id, a.i AS s, b.i AS e FROM sums a JOIN sums b ON a.doc_id = b.doc_id AND a.i <= b.i
+  WHERE b.upto - a.upto + a.words >= 50 AND (b.upto - b.words - a.upto + a.words < 50 OR b.upto - a.upto < 50)),
+windows AS (
+  SELECT spans.doc_id, s, e, string_agg(line, chr(10) ORDER BY i) AS t
+  FROM spans JOIN lines ON lines.doc_id = spans.doc_id AND i BETWEEN s AND e GROUP BY ALL),
+later AS (SELECT doc_id, s, e FROM windows QUALIFY row_number() OVER (PARTITION BY t ORDER BY doc_id, s) > 1),
+gone AS (SELECT DISTINCT lines.doc_id, i FROM lines JOIN later ON lines.doc_id = later.doc_id AND i BETWEEN s AND e)
+"""
+ORACLE_SQL["op10_line_dedup"] = (
+    "WITH "
+    + LINE_DEDUP_SQL.replace("{docs}", "documents")
+    + """
+SELECT l.doc_id, coalesce(string_agg(line, chr(10) ORDER BY l.i) FILTER (WHERE g.i IS NULL), '') AS text,
+       count(*) AS n_lines, count(g.i) AS n_deleted_lines
+FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.i = g.i GROUP BY l.doc_id
+"""
+)
