@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +41,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
 def in_blocks(rows: DataFrame, keys: list[str], salt: str, block_rows: int) -> DataFrame:
     """Keeps buckets (keys) of two rows or more and adds part_a, part_b so that any two rows of a bucket meet.
 
+    own is the row's part. Two rows of one part meet in every block of that part; in_first_block tells the one to count.
+
     A bucket of up to block_rows rows is one block. A larger one is dealt by the hash of column
     salt into parts of about block_rows, and every two of its parts form a block of their own.
     """
@@ -48,5 +55,34 @@ def in_blocks(rows: DataFrame, keys: list[str], salt: str, block_rows: int) -> D
         with_own.withColumn("other", F.explode(others))
         .withColumn("part_a", F.least("own", "other"))
         .withColumn("part_b", F.greatest("own", "other"))
-        .drop("bucket_rows", "parts", "own", "other")
+        .drop("bucket_rows", "parts", "other")
     )
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: int, most_rows: int = 50_000) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups, from batches sorted by their first `keys` columns, and where each group starts."""
+
+    def bounds(t: pa.Table) -> np.ndarray:
+        new = np.zeros(t.num_rows, dtype=bool)
+        new[0] = True
+        for i in range(keys):
+            c = t.column(i).combine_chunks()
+            new[1:] |= pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
+        return np.nonzero(new)[0]
+
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= most_rows:
+                table = pa.Table.from_batches(held)
+                starts = bounds(table)
+                if len(starts) > 1:
+                    last = int(starts[-1])
+                    yield table.slice(0, last), starts
+                    held, rows = table.slice(last).to_batches(), table.num_rows - last
+    if held:
+        table = pa.Table.from_batches(held)
+        yield table, np.append(bounds(table), table.num_rows)

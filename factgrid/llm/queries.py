@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .byte_bpe import byte_bpe, digests
 from .common import table
+from .embedding_dedup import embedding_components
 from .line_dedup import line_dedup
 from .packing import pack
 from .quality_rules import RULES, STOP_WORDS, quality_rules
@@ -123,3 +124,8 @@ SELECT l.doc_id, coalesce(string_agg(line, chr(10) ORDER BY l.i) FILTER (WHERE g
 FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.i = g.i GROUP BY l.doc_id
 """
 )
+
+
+@query
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_components(table(spark, sf_dir, "embeddings"))
