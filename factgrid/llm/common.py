@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 #: Fixed value: the white space of the contracts, `[\x20\x09-\x0D]`, which is also what bytes.split() splits on.
 SPACE_CLASS = "[ \\t\\n\\x0B\\f\\r]"
 
+#: Rows that are Python objects at once.
+STEP_ROWS = 1000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -55,8 +58,9 @@ def map_rows(df: DataFrame, fn: Callable[[], Callable[[dict], dict]], schema: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = fn()
         for batch in batches:
-            if batch.num_rows:
-                out = step({c: batch.column(i).to_pylist() for i, c in enumerate(batch.schema.names)})
+            for at in range(0, batch.num_rows, STEP_ROWS):
+                part = batch.slice(at, STEP_ROWS)
+                out = step({c: part.column(i).to_pylist() for i, c in enumerate(part.schema.names)})
                 yield pa.RecordBatch.from_pydict(out, schema=arrow_schema)
 
     return df.mapInArrow(run, schema)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from bisect import bisect_left, insort
@@ -13,36 +14,78 @@ from pyspark.sql import functions as F
 
 from .common import map_rows, materialize
 
-#: Pieces of text that a task remembers the ids of.
-CACHED_CHUNKS = 250_000
+#: Chunks and words that a task remembers the ids of, and words that are encoded at once.
+CACHED_CHUNKS, ENCODED_WORDS = 600_000, 20_000
 #: White space of any kind but the six ASCII ones, which str.split() would also split on.
-OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
+OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 CHUNK = re.compile(r"[^ \t-\r]+")
+#: ASCII punctuation without the apostrophe, which may begin a word of its own.
+PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+WORD_END = "</w>"
 
 
 class ChunkTokenizer:
-    """Ids of texts by a tokenizer that drops white space, from ids of the chunks between white space."""
+    """Ids of texts by a tokenizer that drops white space, from ids of the chunks between white space.
+
+    A chunk of letters with punctuation behind is two words to the tokenizer. New words
+    of letters are encoded together, and told apart by the tokens that end a word.
+    """
 
     def __init__(self, model: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(model)
         self.ids: dict[str, bytes] = {}
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = token.endswith(WORD_END)
+
+    def _one(self, text: str) -> bytes:
+        found = self.ids.get(text)
+        if found is None:
+            found = self.ids[text] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return found
+
+    def _learn(self, chunks: list[str]) -> None:
+        split, new = [], {}
+        for chunk in chunks:
+            word = chunk.rstrip(PUNCTUATION)
+            if word.isalpha():
+                lower = word.lower() if word.isascii() else word
+                split.append((chunk, lower, chunk[len(word) :]))
+                if lower not in self.ids:
+                    new[lower] = None
+            else:
+                self._one(chunk)
+        words = list(new)
+        for at in range(0, len(words), ENCODED_WORDS):
+            part = words[at : at + ENCODED_WORDS]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
+            ends = (np.nonzero(self.ends[ids])[0] + 1) * 4
+            if len(ends) == len(part):
+                raw, start = ids.tobytes(), 0
+                for word, end in zip(part, ends.tolist(), strict=True):
+                    self.ids[word] = raw[start:end]
+                    start = end
+            else:  # letters that the tokenizer's normal form takes apart
+                for word in part:
+                    self._one(word)
+        for chunk, lower, rest in split:
+            self.ids[chunk] = self.ids[lower] + self._one(rest) if rest else self.ids[lower]
 
     def encode(self, texts: list[str | None], end_id: int) -> list[bytes]:
         """Each text's ids and end_id as little-endian unsigned 32-bit numbers."""
-        end, out = end_id.to_bytes(4, "little"), []
+        end, chunked = end_id.to_bytes(4, "little"), []
         for text in texts:
-            chunks = [] if not text else CHUNK.findall(text) if OTHER_SPACE.search(text) else text.split()
-            new = list({c for c in chunks if c not in self.ids})
-            for at in range(0, len(new), 10_000):
-                part = new[at : at + 10_000]
-                for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    self.ids[c] = np.array(e.ids, dtype="<u4").tobytes()
-            out.append(b"".join(map(self.ids.__getitem__, chunks)) + end)
-            if len(self.ids) > CACHED_CHUNKS:
-                self.ids.clear()
-        return out
+            chunked.append([] if not text else CHUNK.findall(text) if OTHER_SPACE.search(text) else text.split())
+        known = self.ids
+        if len(known) > CACHED_CHUNKS:
+            known.clear()
+        new = set().union(*chunked).difference(known)
+        if new:
+            self._learn(list(new))
+        return [b"".join(map(known.__getitem__, chunks)) + end for chunks in chunked]
 
 
 def plan_bins(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
