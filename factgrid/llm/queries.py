@@ -12,10 +12,12 @@ from .common import table
 from .embedding_dedup import embedding_components
 from .line_dedup import line_dedup
 from .packing import pack
+from .quality_knn import quality_votes
 from .quality_rules import RULES, STOP_WORDS, quality_rules
 from .sharding import kd_shards
 from .simhash import simhash_components
 from .token_counts import token_counts
+from .toxicity import toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -129,3 +131,13 @@ FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.i = g.i GROUP BY l.do
 @query
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_components(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op4_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_votes(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
