@@ -16,53 +16,71 @@ from .labelled import sample
 #: Common English insults, one voter beside the lexicons that labelled rows yield.
 INSULTS = frozenset("idiot idiots moron morons stupid dumb loser losers scum trash pathetic worthless disgusting clown fool imbecile jerk bastard freak vermin filth".split())
 #: Labelled rows of each class that the model is fitted on.
-FIT_ROWS = 3000
-#: Terms that become voters, and how many of them a toxic text should hold before the search turns to other texts.
-VOTERS, COVER = 96, 3
-#: Lengths of word beginnings that may be terms; a whole word is a term as well.
-STEMS = (4, 5, 6)
+FIT_ROWS = 2500
+#: Terms that become voters, how many of them a toxic text should hold before the search turns to other texts,
+#: and how sure of label 1 a term must be in the labelled rows.
+VOTERS, COVER, PRECISION = 128, 4, 0.9
+#: Lengths of word beginnings that may be terms, and how often in a text; a whole word is a term as well.
+STEMS, TIMES = (3, 4, 5, 6, 7, 8), (1, 2, 3)
 WORD = re.compile(r"\w+")
 INSULTING = re.compile(r"\b(?:you|du|tu|eres|vous|ihr)\b\W+(?:\w+\W+){0,2}?(?:are|bist|es|seid|un|a|an|ein)?\W*(\w+)")
 
-
-def terms_of(text: str) -> set[str]:
-    """Lower-cased words as `=word`, and their beginnings."""
-    words = set(WORD.findall(text.lower()))
-    out = {"=" + w for w in words}
-    for n in STEMS:
-        out.update(w[:n] for w in words if len(w) >= n)
-    return out
-
-
-def find_terms(texts: list[str], labels: list[int]) -> list[str]:
-    """Terms that mark label 1: significantly more frequent there, chosen for the texts that they add."""
-    ones, zeros = Counter(), Counter()
-    of_one: list[set[str]] = []
-    for t, y in zip(texts, labels, strict=True):
-        terms = terms_of(t)
-        (ones if y else zeros).update(terms)
-        if y:
-            of_one.append(terms)
+#: (word or word beginning, whether it is a whole word, occurrences that it takes)
+Term = tuple[str, bool, int]
+
+
+def terms_of(text: str) -> set[Term]:
+    """Lower-cased words and their beginnings, each with the numbers of occurrences that it reaches."""
+    words = Counter(WORD.findall(text.lower()))
+    stems: Counter = Counter()
+    for w, n in words.items():
+        for k in STEMS:
+            if len(w) < k:
+                break
+            stems[w[:k]] += n
+    return {(w, whole, t) for whole, counts in ((True, words), (False, stems)) for w, n in counts.items() for t in TIMES if n >= t}
+
+
+def find_terms(texts: list[str], labels: list[int], share: float) -> list[Term]:
+    """Terms that mark label 1, significantly and with PRECISION, chosen for the texts that they add."""
+    ones: Counter = Counter()
+    of_one = [terms_of(t) for t, y in zip(texts, labels, strict=True) if y]
+    for terms in of_one:
+        ones.update(terms)
+    tried = max(2, len(ones))
+    zeros = {t: 0 for t, n in ones.items() if n >= 3}
+    for text, y in zip(texts, labels, strict=True):
+        if not y:
+            for t in terms_of(text):
+                if t in zeros:
+                    zeros[t] += 1
     n1, n0 = max(1, sum(labels)), max(1, len(labels) - sum(labels))
-    share, need = n1 / (n1 + n0), math.log(max(2, len(ones)) / 0.01)
+    expected, need = n1 / (n1 + n0), math.log(tried / 0.01)
 
-    def strong(term: str) -> bool:
+    def strong(term: Term) -> bool:
         a, b = ones[term], zeros[term]
-        p = a / (a + b)
+        p, rate = a / (a + b), a / n1 * share
         # Binomial evidence against the share of label 1, over as many terms as were looked at.
-        gain = a * math.log(p / share) + (b * math.log((1 - p) / (1 - share)) if b else 0)
-        return a >= 3 and p > share and a / n1 > 8 * (b + 0.5) / n0 and gain > need
+        gain = a * math.log(p / expected) + (b * math.log((1 - p) / (1 - expected)) if b else 0)
+        return p > expected and gain > need and rate / (rate + b / n0 * (1 - share)) >= PRECISION
 
-    good = {t for t in ones if ones[t] >= 3 and strong(t)}
-    holders: dict[str, list[int]] = defaultdict(list)
+    good = {t for t in zeros if strong(t)}
+    holders: dict[Term, list[int]] = defaultdict(list)
     for i, terms in enumerate(of_one):
         for t in terms & good:
             holders[t].append(i)
+    # Of terms with the same texts, such as the beginnings of one word, the shortest is enough.
+    alike: dict[tuple, Term] = {}
+    for t in sorted(holders, key=lambda t: (t[2], len(t[0]), t)):
+        alike.setdefault((tuple(holders[t]), zeros[t]), t)
+    holders = {t: holders[t] for t in alike.values()}
     chosen, covered = [], [0] * len(of_one)
     while len(chosen) < VOTERS and holders:
-        best = max(holders, key=lambda t: (sum(covered[i] < COVER for i in holders[t]) - 3 * zeros[t] * n1 / n0, -len(t), t))
-        if sum(covered[i] < COVER for i in holders[best]) < 3:
+        gains = {t: sum(covered[i] < COVER for i in rows) for t, rows in holders.items()}
+        holders = {t: rows for t, rows in holders.items() if gains[t] >= 3}
+        if not holders:
             break
+        best = max(holders, key=lambda t: (gains[t] - 3 * zeros[t] * n1 / n0, -t[2], -len(t[0]), t))
         for i in holders.pop(best):
             covered[i] += 1
         chosen.append(best)
@@ -70,54 +88,56 @@ def find_terms(texts: list[str], labels: list[int]) -> list[str]:
 
 
 class Votes:
-    """Counts of what voters look for in a text."""
-
-    def __init__(self, terms: list[str]):
-        self.words = {t[1:]: i for i, t in enumerate(terms) if t[0] == "="}
-        self.stems = {t: i for i, t in enumerate(terms) if t[0] != "="}
-        self.lengths = sorted({len(t) for t in self.stems})
-        self.n_terms = len(terms)
-        self.size = len(terms) + 4
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def _of_word(self, w: str) -> tuple[int, ...]:
-        out = [self.words[w]] if w in self.words else []
-        out += [self.stems[w[:n]] for n in self.lengths if len(w) >= n and w[:n] in self.stems]
-        return tuple(out) + ((self.n_terms,) if w in INSULTS else ())
+    """What the voters find in a text: a term each, the fixed lexicon, and three patterns."""
+
+    def __init__(self, terms: list[Term]):
+        self.terms = terms
+        self.words = {w for w, whole, _ in terms if whole}
+        self.stems = {w for w, whole, _ in terms if not whole}
+        self.lengths = sorted({len(w) for w in self.stems})
+        self.n_terms, self.size = len(terms), len(terms) + 4
+        self.known: dict[str, tuple] = {}
+
+    def _of_word(self, w: str) -> tuple:
+        """Keys of the terms that the word counts for, and None if it is in the fixed lexicon."""
+        out: list = [(w, True)] if w in self.words else []
+        out += [(w[:n], False) for n in self.lengths if len(w) >= n and w[:n] in self.stems]
+        return tuple(out + [None] * (w in INSULTS))
 
     def __call__(self, text: str) -> np.ndarray:
         x = np.zeros(self.size)
         lower = text.lower()
         words = WORD.findall(lower)
-        known, marked = self.known, []
+        known = self.known
         if len(known) > 300_000:
             known.clear()
-        for w in set(words):
-            hit = known.get(w)
-            if hit is None:
-                hit = known[w] = self._of_word(w)
-            if hit:
-                marked.append(w)
-                for i in hit:
-                    x[i] += 1
-        if marked:
-            # Patterns: a marked word addressed to someone, two marked words or more, a share of marked words.
-            x[self.n_terms + 1] = sum(m in marked for m in INSULTING.findall(lower)[:1000])
+        for w in set(words).difference(known):
+            known[w] = self._of_word(w)
+        found = [(w, hit) for w in words if (hit := known[w])]
+        if found:
+            counts = Counter(k for _, hit in found for k in hit)
+            for i, (w, whole, times) in enumerate(self.terms):
+                x[i] = counts.get((w, whole), 0) >= times
+            marked = {w for w, hit in found if None in hit or any(x[i] for i, t in enumerate(self.terms) if t[:2] in hit)}
+            # Patterns: a marked word addressed to someone, two marked words or more, the share of marked words.
+            x[self.n_terms] = counts[None] > 0
+            x[self.n_terms + 1] = bool(marked) and any(m in marked for m in INSULTING.findall(lower))
             x[self.n_terms + 2] = len(marked) >= 2
-            x[self.n_terms + 3] = 100 * sum(map(Counter(words).__getitem__, marked)) / len(words)
+            x[self.n_terms + 3] = np.log1p(100 * sum(w in marked for w in words) / len(words))
         return x
 
 
-def label_model(votes: np.ndarray, prior: float, rounds: int = 50) -> np.ndarray:
-    """Posterior of label 1 for each row of 0/1 votes, by EM on voters' accuracies and correlations.
+def label_model(votes: np.ndarray, start: np.ndarray, prior: float, rounds: int = 50) -> np.ndarray:
+    """Posterior of label 1 for each row of votes (1, or 0 to abstain), by EM on voters' accuracies and correlations.
 
-    Each voter has its own chance to vote under either label. Voters whose votes go together beyond what
+    start has the posteriors to begin with. Each voter has its own chance to vote under either label. Voters whose votes go together beyond what
     the label explains share their evidence: each counts by the inverse of one plus its
     correlations with the others, which are estimated again after each round.
     """
+    # An abstention says nothing; that all abstain is a voter of its own, for label 0.
+    votes = np.hstack([votes, ~votes.any(axis=1, keepdims=True)])
     n, m = votes.shape
-    # To begin with, any vote is better than none.
-    post = np.clip(votes.sum(axis=1) / 2, 0.02, 0.98)
+    post = start
     weight = np.ones(m)
     for _ in range(rounds):
         on1 = (post @ votes + 1) / (post.sum() + 2 / prior)
@@ -129,7 +149,7 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 50) -> np.ndarray
         np.fill_diagonal(correlation, 0)
         correlation[correlation < 0.1] = 0
         weight = 1 / (1 + correlation.sum(axis=1))
-        logit = math.log(prior / (1 - prior)) + (votes * weight) @ np.log(on1 / on0) + ((1 - votes) * weight) @ np.log((1 - on1) / (1 - on0))
+        logit = math.log(prior / (1 - prior)) + (votes * weight) @ np.log(on1 / on0)
         new = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
         done = np.abs(new - post).max() < 1e-6
         post = new
@@ -157,26 +177,24 @@ class Model:
     """What is fitted: the terms and the linear classifier."""
 
     def __init__(self, texts: list[str], labels: list[int], share: float):
-        self.terms = find_terms(texts, labels) if 0 < sum(labels) < len(labels) else []
+        self.terms = find_terms(texts, labels, share) if 0 < sum(labels) < len(labels) else []
         self.votes = Votes(self.terms)
         x = np.array([self.votes(t) for t in texts]).reshape(len(texts), self.votes.size)
         ones = max(1, sum(labels))
         prior = min(max(ones / max(len(labels), 1), 0.02), 0.98)
-        post = label_model((x > 0).astype(float), prior) if len(texts) else np.zeros(0)
+        # A labelled row without votes begins as unknown, since its label rests on nothing that is seen here.
+        begin = np.where(np.array(labels) == 1, np.where(x.any(axis=1), 0.9, prior), 0.05)
+        post = label_model((x > 0).astype(float), begin, prior) if len(texts) else np.zeros(0)
         # The sample holds the classes in other shares than the labelled rows do.
         share = min(max(share, 1e-3), 1 - 1e-3)
         weights = post * share / prior + (1 - post) * (1 - share) / (1 - prior)
-        self.beta = fit_linear(self.shape(x), post, weights) if len(texts) else np.append(np.zeros(self.votes.size), -3.0)
+        self.beta = fit_linear(x, post, weights) if len(texts) else np.append(np.zeros(self.votes.size), -3.0)
         if not len(texts):  # no labels at all: the fixed lexicon decides
             self.beta[0] = 5.0
         self.votes.known.clear()
 
-    @staticmethod
-    def shape(x: np.ndarray) -> np.ndarray:
-        return np.log1p(np.maximum(x, 0))
-
     def score(self, texts: list[str | None]) -> list[float]:
-        x = self.shape(np.array([self.votes(t or "") for t in texts]))
+        x = np.array([self.votes(t or "") for t in texts])
         return (1 / (1 + np.exp(-np.clip(x @ self.beta[:-1] + self.beta[-1], -30, 30)))).tolist()
 
 
