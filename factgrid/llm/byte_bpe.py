@@ -19,21 +19,22 @@ from .common import map_rows
 MAX_RANKS = 1_000_000
 #: Words of more bytes are contracted with a heap: the recursion takes a round for each merge.
 LONG_WORD = 256
-#: Words that go through one recursive query, and words that a task remembers.
-QUERY_WORDS, CACHED_WORDS = 20_000, 250_000
+#: Words that go through one recursive query, and words that a worker process remembers.
+QUERY_WORDS, CACHED_WORDS = 50_000, 900_000
 
+#: A word's place and a rank share a number, places being below 512: the least is the leftmost pair of least rank.
 ENCODE = """
 WITH RECURSIVE tokens(w, pos, id, fixed) AS (
   SELECT w, pos, byte_ids.id, false FROM bytes_of_words JOIN byte_ids USING (byte)
   UNION ALL
   (WITH pairs AS (
-     SELECT w, pos, id, lead(id) OVER word AS next_id, lag(pos) OVER word AS last_pos
-     FROM tokens WHERE NOT fixed WINDOW word AS (PARTITION BY w ORDER BY pos)),
+     SELECT w, pos, id, CASE WHEN lead(w) OVER word = w THEN lead(id) OVER word END AS next_id, CASE WHEN lag(w) OVER word = w THEN lag(pos) OVER word END AS last_pos
+     FROM tokens WHERE NOT fixed WINDOW word AS (ORDER BY CAST(w AS BIGINT) * 512 + pos)),
    ranked AS (SELECT p.w, p.pos, p.id, p.last_pos, m.rank FROM pairs p LEFT JOIN merges m ON m.l = p.id AND m.r = p.next_id),
-   best AS (SELECT w, min(rank) AS rank, min(CASE WHEN rank IS NOT NULL THEN struct_pack(rank := rank, pos := pos) END).pos AS pos FROM ranked GROUP BY w)
-   SELECT r.w, r.pos, CASE WHEN r.pos = b.pos THEN b.rank ELSE r.id END, b.pos IS NULL
+   best AS (SELECT w, min(CAST(rank AS BIGINT) * 512 + pos) AS first FROM ranked GROUP BY w)
+   SELECT r.w, r.pos, CASE WHEN r.pos = b.first % 512 THEN CAST(b.first // 512 AS INTEGER) ELSE r.id END, b.first IS NULL
    FROM ranked r JOIN best b USING (w)
-   WHERE b.pos IS NULL OR r.last_pos IS NULL OR r.last_pos <> b.pos))
+   WHERE b.first IS NULL OR r.last_pos IS NULL OR r.last_pos <> b.first % 512))
 SELECT w, pos, id FROM tokens WHERE fixed
 """
 
@@ -49,6 +50,7 @@ class Ranks:
     def __init__(self, path: str):
         with open(path, "rb") as f:
             self.id_of = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+        self.key = hashlib.sha256(repr(sorted(self.id_of.items())).encode()).hexdigest()
         if len(self.id_of) > MAX_RANKS:
             raise ValueError(f"{len(self.id_of)} ranks; at most {MAX_RANKS} are sent to executors")
         known = self.id_of.get
@@ -57,8 +59,20 @@ class Ranks:
         self.merges = pa.table({"l": pa.array(l, pa.int32()), "r": pa.array(r, pa.int32()), "rank": pa.array(rank, pa.int32())})
 
 
+_LAST: dict[tuple[str, str], Encoder] = {}
+
+
+def encoder_of(ranks: Ranks, pattern: str) -> Encoder:
+    """The worker process's encoder: the next task of the same ranks and pattern goes on with its words."""
+    key = (ranks.key, pattern)
+    if key not in _LAST:
+        _LAST.clear()
+        _LAST[key] = Encoder(ranks, pattern)
+    return _LAST[key]
+
+
 class Encoder:
-    """One task's DuckDB connection, and the words that it has encoded."""
+    """A worker process's DuckDB connection, and the words that it has encoded."""
 
     def __init__(self, ranks: Ranks, pattern: str):
         self.id_of, self.bytes_of = ranks.id_of, {n: t for t, n in ranks.id_of.items()}
@@ -149,7 +163,7 @@ def byte_bpe(
 
     Each match of pattern is one word. In every task, DuckDB joins a word's token-position rows
     to the merge table and contracts the leftmost pair of least rank until none is left; an
-    ordered aggregation decodes. Words are encoded once while the task remembers them. Words of
+    ordered aggregation decodes. Words are encoded once while the worker process remembers them. Words of
     over LONG_WORD bytes are contracted with a heap to the same result. finish and schema may
     replace the two result columns; finish gets a text's words as (number, ids, bytes).
 
@@ -161,7 +175,7 @@ def byte_bpe(
     finish = finish or (lambda words: {"ids": [int(n) for x in words for n in x[1].split(",")], "decoded": b"".join(x[2] for x in words)})
 
     def start():
-        encoder = Encoder(ranks.value, pattern)
+        encoder = encoder_of(ranks.value, pattern)
 
         def step(rows: dict) -> dict:
             done = [finish(words) for words in encoder.encode(rows["t"])]
