@@ -179,8 +179,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.coalesce(docs[text_col], F.lit(""))
     k1, k2 = _text_keys(text)
     joined = docs.withColumn("__ld_1", k1).withColumn("__ld_2", k2)
+    # Never broadcast: what is found grows with the documents. Texts are not sorted by a hash join.
     joined = joined.join(
-        found, joined[id_col].eqNullSafe(F.col("__ld_id")) & (F.col("__ld_1") == F.col("__ld_k1")) & (F.col("__ld_2") == F.col("__ld_k2")), "left"
+        found.hint("shuffle_hash"), joined[id_col].eqNullSafe(F.col("__ld_id")) & (F.col("__ld_1") == F.col("__ld_k1")) & (F.col("__ld_2") == F.col("__ld_k2")), "left"
     )
     lines = F.split(F.col(f"`{text_col}`"), "\n")
     kept = F.flatten(F.transform("__ld_kept", lambda x: F.slice(lines, x["start"] + 1, x["length"])))
