@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from .common import map_rows, materialize
 
-#: Chunks and words that a task remembers the ids of, and words that are encoded at once.
-CACHED_CHUNKS, ENCODED_WORDS = 600_000, 20_000
+#: Chunks and words that a worker process remembers the ids of, and words that are encoded at once.
+CACHED_CHUNKS, ENCODED_WORDS = 1_000_000, 20_000
 #: White space of any kind but the six ASCII ones, which str.split() would also split on.
 OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 CHUNK = re.compile(r"[^ \t-\r]+")
@@ -24,6 +24,17 @@ PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 WORD_END = "</w>"
 
 
+_LAST: dict[str, ChunkTokenizer] = {}
+
+
+def tokenizer_of(model: str) -> ChunkTokenizer:
+    """The worker process's tokenizer: the next task of the same model goes on with its chunks."""
+    if model not in _LAST:
+        _LAST.clear()
+        _LAST[model] = ChunkTokenizer(model)
+    return _LAST[model]
+
+
 class ChunkTokenizer:
     """Ids of texts by a tokenizer that drops white space, from ids of the chunks between white space.
 
@@ -170,7 +181,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
     def start():
         from pyspark import TaskContext
 
-        tokens, block, seen = ChunkTokenizer(model.value), TaskContext.get().partitionId(), Counter()
+        tokens, block, seen = tokenizer_of(model.value), TaskContext.get().partitionId(), Counter()
 
         def step(rows: dict) -> dict:
             out: dict[str, list] = {c: [] for c in ("id", "piece", "start", "length", "ids_crc32", "block", "own")}
