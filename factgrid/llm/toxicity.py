@@ -43,44 +43,42 @@ def terms_of(text: str) -> set[Term]:
 
 def find_terms(texts: list[str], labels: list[int], share: float) -> list[Term]:
     """Terms that mark label 1, significantly and with PRECISION, chosen for the texts that they add."""
-    ones: Counter = Counter()
-    of_one = [terms_of(t) for t, y in zip(texts, labels, strict=True) if y]
-    for terms in of_one:
-        ones.update(terms)
-    tried = max(2, len(ones))
-    zeros = {t: 0 for t, n in ones.items() if n >= 3}
+    def keys(terms: set[Term]) -> np.ndarray:
+        return np.fromiter(map(hash, terms), dtype=np.int64, count=len(terms))
+
+    # Terms are counted by their hashes, so that those of all texts are never held at once.
+    marked = [t for t, y in zip(texts, labels, strict=True) if y]
+    seen, ones = np.unique(np.concatenate([keys(terms_of(t)) for t in marked]), return_counts=True)
+    need = math.log(max(2, len(seen)) / 0.01)
+    seen, ones = seen[ones >= 3], ones[ones >= 3]
+    zeros = np.zeros(len(seen), dtype=np.int64)
     for text, y in zip(texts, labels, strict=True):
-        if not y:
-            for t in terms_of(text):
-                if t in zeros:
-                    zeros[t] += 1
+        if not y and len(seen):
+            zeros[np.intersect1d(keys(terms_of(text)), seen, assume_unique=True, return_indices=True)[2]] += 1
     n1, n0 = max(1, sum(labels)), max(1, len(labels) - sum(labels))
-    expected, need = n1 / (n1 + n0), math.log(tried / 0.01)
-
-    def strong(term: Term) -> bool:
-        a, b = ones[term], zeros[term]
-        p, rate = a / (a + b), a / n1 * share
-        # Binomial evidence against the share of label 1, over as many terms as were looked at.
-        gain = a * math.log(p / expected) + (b * math.log((1 - p) / (1 - expected)) if b else 0)
-        return p > expected and gain > need and rate / (rate + b / n0 * (1 - share)) >= PRECISION
-
-    good = {t for t in zeros if strong(t)}
+    expected, p, rate = n1 / (n1 + n0), ones / (ones + zeros), ones / n1 * share
+    # Binomial evidence against the share of label 1, over as many terms as were looked at.
+    gain = ones * np.log(p / expected) + zeros * np.log(np.maximum((1 - p) / (1 - expected), 1e-300))
+    strong = (p > expected) & (gain > need) & (rate / (rate + zeros / n0 * (1 - share)) >= PRECISION)
+    misses = dict(zip(seen[strong].tolist(), zeros[strong].tolist(), strict=True))
     holders: dict[Term, list[int]] = defaultdict(list)
-    for i, terms in enumerate(of_one):
-        for t in terms & good:
-            holders[t].append(i)
+    for i, text in enumerate(marked):
+        for t in terms_of(text):
+            if hash(t) in misses:
+                holders[t].append(i)
+    misses_of = {t: misses[hash(t)] for t in holders}
     # Of terms with the same texts, such as the beginnings of one word, the shortest is enough.
     alike: dict[tuple, Term] = {}
     for t in sorted(holders, key=lambda t: (t[2], len(t[0]), t)):
-        alike.setdefault((tuple(holders[t]), zeros[t]), t)
+        alike.setdefault((tuple(holders[t]), misses_of[t]), t)
     holders = {t: holders[t] for t in alike.values()}
-    chosen, covered = [], [0] * len(of_one)
+    chosen, covered = [], [0] * len(marked)
     while len(chosen) < VOTERS and holders:
         gains = {t: sum(covered[i] < COVER for i in rows) for t, rows in holders.items()}
         holders = {t: rows for t, rows in holders.items() if gains[t] >= 3}
         if not holders:
             break
-        best = max(holders, key=lambda t: (gains[t] - 3 * zeros[t] * n1 / n0, -t[2], -len(t[0]), t))
+        best = max(holders, key=lambda t: (gains[t] - 3 * misses_of[t] * n1 / n0, -t[2], -len(t[0]), t))
         for i in holders.pop(best):
             covered[i] += 1
         chosen.append(best)
