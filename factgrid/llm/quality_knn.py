@@ -51,7 +51,7 @@ class Terms:
 
     def __call__(self, text: str | None) -> np.ndarray:
         words = (text or "").split()
-        x = np.zeros(TERMS)
+        x = np.zeros(TERMS, dtype=np.float32)
         if not words:
             return x
         known = self.known
@@ -77,17 +77,23 @@ class Space:
 
     def __init__(self, texts: list[str], labels: list[int], share: float):
         terms = Terms()
-        counts = np.array([terms(t) for t in texts], dtype=np.float32).reshape(len(texts), TERMS)
-        self.idf = np.log((1 + len(texts)) / (1 + (counts > 0).sum(axis=0))).astype(np.float64) + 0.1
+        counts = np.zeros((len(texts), TERMS), dtype=np.float32)
+        for i, t in enumerate(texts):
+            counts[i] = terms(t)
+        self.idf = (np.log((1 + len(texts)) / (1 + (counts > 0).sum(axis=0))) + 0.1).astype(np.float32)
         self.share = share
-        self.basis = np.zeros((TERMS, 0))
+        self.basis = np.zeros((TERMS, 0), dtype=np.float32)
+        weighted = self._weigh(counts)
+        del counts
         if len(texts):
-            weighted = self._weigh(counts.astype(np.float64))
-            # The right singular vectors, from the smaller Gram matrix side of the terms.
-            values, vectors = np.linalg.eigh(weighted.T @ weighted)
-            keep = np.argsort(values)[::-1][: min(LATENT, len(texts))]
-            self.basis = vectors[:, keep]
-        self.voters = self._unit(self._weigh(counts.astype(np.float64)) @ self.basis)
+            # The leading right singular vectors, by block power iteration.
+            rank = min(LATENT, len(texts))
+            basis = np.random.default_rng(7).standard_normal((TERMS, rank + 16)).astype(np.float32)
+            for _ in range(12):
+                basis = np.linalg.qr(weighted.T @ (weighted @ basis))[0]
+            values, vectors = np.linalg.eigh((weighted @ basis).T @ (weighted @ basis))
+            self.basis = basis @ vectors[:, np.argsort(values)[::-1][:rank]]
+        self.voters = self._unit(weighted @ self.basis)
         y = np.array(labels, dtype=np.float64)
         self.labels = y
         # The sample may hold the classes in other shares than the labelled rows do.
@@ -112,7 +118,7 @@ class Space:
         for at in range(0, len(counts), BLOCK):
             cosine = self._unit(self._weigh(counts[at : at + BLOCK]) @ self.basis) @ self.voters.T
             near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-            votes = np.maximum(np.take_along_axis(cosine, near, axis=1), 0) ** 8 * self.weights[near]
+            votes = np.maximum(np.take_along_axis(cosine, near, axis=1), 0).astype(np.float64) ** 8 * self.weights[near]
             total = votes.sum(axis=1)
             some = total > 0
             out[at : at + BLOCK][some] = ((votes * self.labels[near]).sum(axis=1)[some]) / total[some]
