@@ -70,7 +70,7 @@ def _hashed(schema: pa.Schema, hashes: int, tables: int, seed: int):
                     x = np.array(raw[i], dtype=np.float64) + 0.0
                     h = xxhash.xxh128_intdigest(x.tobytes())
                     out["h1"][i], out["h2"][i] = ((p - (1 << 64)) if p >> 63 else p for p in (h >> 64, h & (1 << 64) - 1))
-                    out["codes"][i], out["vec"][i] = c, units[i]
+                    out["codes"][i], out["vec"][i] = c, raw[i]
             yield pa.RecordBatch.from_pydict({"id": batch.column(0), "label": batch.column(1)} | out, schema=schema)
 
     return run
@@ -113,7 +113,9 @@ def _linked(cosine: float):
             dims, vec = get("dim").to_numpy(), get("vec")
             out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-                x = vec[lo:hi].flatten().to_numpy().reshape(hi - lo, int(dims[lo]))
+                x = vec[lo:hi].flatten().to_numpy().astype(np.float64).reshape(hi - lo, int(dims[lo]))
+                x /= np.abs(x).max(axis=1)[:, None]
+                x /= np.sqrt((x * x).sum(axis=1))[:, None]
                 add, root = group(int(t[lo]), own[lo:hi], (int(pa_[lo]), int(pb[lo])), cls[lo:hi], n[lo:hi], codes[lo:hi], x)
                 hit = np.nonzero(add)[0]
                 out.append((cls[lo:hi][hit], add[hit], cls[lo:hi][root[hit]]))
@@ -142,9 +144,11 @@ def embedding_components(
     """
     spark = vectors.sparkSession
     label = F.lit("") if label_col is None else vectors[label_col].cast("string")
-    rows = vectors.select(vectors[id_col].cast("long").alias("id"), label.alias("label"), vectors[vector_col].cast("array<double>").alias("v"))
+    # Vectors travel as they are stored; floats are half as wide as doubles.
+    stored = "array<float>" if vectors.select(vector_col).dtypes[0][1] == "array<float>" else "array<double>"
+    rows = vectors.select(vectors[id_col].cast("long").alias("id"), label.alias("label"), vectors[vector_col].cast(stored).alias("v"))
     hashes, tables = tables_for(vectors.count(), cosine)
-    schema = "id long, label string, h1 long, h2 long, codes array<int>, vec array<double>"
+    schema = f"id long, label string, h1 long, h2 long, codes array<int>, vec {stored}"
     base = materialize(rows.mapInArrow(_hashed(_arrow_schema(spark, schema), hashes, tables, seed), schema), "vectors")
 
     same = ["label", "h1", "h2"]
