@@ -121,7 +121,7 @@ def kd_shards(
     category columns that docs has is split at distributed weighted quantiles along the widest
     dimension until each leaf is one shard. Give the number of shards, or target_bytes for as
     many as the bytes ask for. A group that outweighs a shard gets one of its own; the rest
-    stays even. Only one row for each node reaches the driver.
+    stays even. Only one row for each node reaches the driver, and one for each group of more than an even share.
 
     Null text: no bytes, a group with the empty ones. Null categories: ordinal 0. slot numbers the
     rows of a shard from 0 in no promised order; rows with equal ids get slots of their own. An
@@ -157,7 +157,18 @@ def kd_shards(
     groups = materialize(groups, "kd-groups")
     total = groups.agg(F.coalesce(F.sum("w"), F.lit(0)).alias("w"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     count = shards if shards is not None else max(1, math.ceil(total["w"] / target_bytes))
-    nodes = [Node(0, count)]
+    # A group that outweighs an even share has a shard of its own, and the share of the rest is less.
+    left, alone = total["w"], []
+    for g in groups.filter(F.col("w") * count > total["w"]).orderBy(F.desc("w")).collect() if count > 1 else []:
+        if g["w"] * (count - len(alone)) <= left or len(alone) == count - 1:
+            break
+        left -= g["w"]
+        alone.append((g["hash"], g["crc"], g["size"], len(alone)))
+    nodes = [Node(len(alone), count - len(alone))]
+    groups = groups.withColumn("node", F.lit(len(alone)))
+    if alone:
+        own = _small(spark, alone, "hash long, crc long, size long, own int")
+        groups = materialize(groups.join(own, ["hash", "crc", "size"], "left").withColumn("node", F.coalesce("own", "node")).drop("own").select(*groups.columns), "kd-groups")
     while any(n.shards > 1 for n in nodes):
         groups, nodes = _split(groups, nodes, dims)
 
