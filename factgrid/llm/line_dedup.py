@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from .common import map_rows, materialize
 
-#: A document among the distinct texts, and a place in it. `rep` is the smallest id of a text.
-DOC = ["rep", "k1", "k2"]
+#: A document among the distinct texts. Its `rep`, the smallest id of the text and maybe null, gives its place in order.
+DOC = ["k1", "k2"]
 
 
 def minimal_windows(words: list[int], least: int) -> list[list[int]]:
@@ -102,19 +102,19 @@ def repeated_runs(docs: DataFrame, id_col: str, text_col: str, min_words: int) -
 
     # Equal texts are one document, that of the smallest id: a later copy goes whole if it has the words.
     texts = materialize(
-        lines.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.first("h1").alias("h1"), F.first("h2").alias("h2"), F.first("windows").alias("windows")), "line-texts"
+        lines.groupBy("k1", "k2").agg(F.min(F.struct("id"))["id"].alias("rep"), F.first("h1").alias("h1"), F.first("h2").alias("h2"), F.first("windows").alias("windows")), "line-texts"
     )
-    at = texts.select(*DOC, F.posexplode(F.arrays_zip("h1", "h2", "windows")).alias("i", "line"))
-    at = at.select(*DOC, "i", F.col("line.h1").alias("r1"), F.col("line.h2").alias("r2"), F.col("line.windows").alias("windows"))
+    at = texts.select("rep", *DOC, F.posexplode(F.arrays_zip("h1", "h2", "windows")).alias("i", "line"))
+    at = at.select("rep", *DOC, "i", F.col("line.h1").alias("r1"), F.col("line.h2").alias("r2"), F.col("line.windows").alias("windows"))
 
     # Prefix doubling: level k ranks the runs of 2^k lines that are found twice or more.
     def ranked(rows: DataFrame, keep: list[str]) -> DataFrame:
         return materialize(rows.join(_ranks(rows), ["r1", "r2"]).select(*DOC, "i", "rank", *keep), "suffix-level")
 
-    level = ranked(at, ["windows"])
-    windows = level.select(*DOC, "i", F.explode("windows").alias("length"))
+    level = ranked(at, ["rep", "windows"])
+    windows = level.select("rep", *DOC, "i", F.explode("windows").alias("length"))
     longest = windows.agg(F.max("length")).first()[0] or 0
-    level = level.drop("windows")
+    level = level.drop("rep", "windows")
     levels = level.withColumn("k", F.lit(0))
     for k in range(1, int(longest).bit_length()):
         right = level.select(*DOC, (F.col("i") - (1 << (k - 1))).alias("i"), F.col("rank").alias("r2"))
@@ -129,9 +129,9 @@ def repeated_runs(docs: DataFrame, id_col: str, text_col: str, min_words: int) -
     windows = windows.withColumn("k", k).withColumn("first", F.col("i")).withColumn("second", F.expr("i + length - shiftleft(1, k)"))
     for name in ("first", "second"):
         windows = windows.join(levels.select(*DOC, "k", F.col("i").alias(name), F.col("rank").alias(f"{name}_rank")), [*DOC, "k", name])
-    found = materialize(windows.select(*DOC, "i", "length", "first_rank", "second_rank"), "line-windows")
+    found = materialize(windows.select("rep", *DOC, "i", "length", "first_rank", "second_rank"), "line-windows")
     same = ["length", "first_rank", "second_rank"]
-    here = F.struct(*DOC, "i")
+    here = F.struct("rep", *DOC, "i")
     earliest = materialize(found.groupBy(*same).agg(F.min(here).alias("earliest"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "line-earliest")
     later = found.join(earliest, same).filter(here != F.col("earliest"))
     of_text = later.groupBy("k1", "k2").agg(F.collect_set(F.struct("i", "length")).alias("gone"))  # at most a few for each line of one text
