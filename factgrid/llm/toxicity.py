@@ -147,8 +147,13 @@ def label_model(votes: np.ndarray, start: np.ndarray, prior: float, rounds: int
         np.fill_diagonal(correlation, 0)
         correlation[correlation < 0.1] = 0
         weight = 1 / (1 + correlation.sum(axis=1))
-        logit = math.log(prior / (1 - prior)) + (votes * weight) @ np.log(on1 / on0)
-        new = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+        logit = (votes * weight) @ np.log(on1 / on0)
+        # The offset at which the posteriors' mean is the prior, so that rounds don't drift from it.
+        low, high = -40.0, 40.0
+        for _ in range(50):
+            offset = (low + high) / 2
+            new = 1 / (1 + np.exp(-np.clip(logit + offset, -30, 30)))
+            low, high = (offset, high) if new.mean() < prior else (low, offset)
         done = np.abs(new - post).max() < 1e-6
         post = new
         if done:
