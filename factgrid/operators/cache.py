@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factgrid.plans.ship import ship_package
+
 #: Fixed value: similarity from which a cached result is reused.
 HIT = 0.85
 #: Cached rows that one task compares with a batch of probes.
@@ -20,6 +22,7 @@ def nearest(probes: DataFrame, cache: DataFrame, batch_rows: int = 4096) -> Data
     part of the cache once, and one row for each probe and part goes on. No vector is
     collected on the driver, and neither side is broadcast whole.
     """
+    ship_package(probes.sparkSession)
     n_batches = max(1, -(-probes.count() // batch_rows))
     n_parts = max(1, -(-cache.count() // PART_ROWS))
     q = probes.select(F.col("probe_id").cast("long").alias("id"), "embedding", F.pmod(F.xxhash64("probe_id"), F.lit(n_batches)).cast("int").alias("batch"))

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factgrid.functions.text import EXTRACTION_BLANK_TOKENS, trim_unicode
+from factgrid.plans.ship import ship_package
 
 #: Fixed values of the extraction stage.
 MIN_YIELD, SNIPPET_CHARS, DEADLINE_MS, GRACE_MS = 4, 200, 6_500, 2_000
@@ -58,6 +59,7 @@ def parse_responses(responses: DataFrame) -> DataFrame:
     A reply without a list has null records and counts as failed; an empty list doesn't. Arrow-batched, since strict JSON
     with repeated keys is beyond the engine's own parser.
     """
+    ship_package(responses.sparkSession)
     item = pa.struct([("ord", pa.int32()), ("name", pa.string()), ("source_url", pa.string()), ("cells", pa.list_(pa.struct([("field", pa.string()), ("value", pa.string()), ("snippet", pa.string())])))])
     schema = "run_id string, batch long, failed boolean, n_entities long, records array<struct<ord int, name string, source_url string, cells array<struct<field string, value string, snippet string>>>>"
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factgrid.operators.pages import MAX_CONTENT, MAX_HTML, MAX_SECTION, MIN_PAGE_TEXT
+from factgrid.plans.ship import ship_package
 
 #: Elements without content.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -201,6 +202,7 @@ def with_sections(pages: DataFrame, html_col: str = "html", snippet_col: str = "
     Content of less than 200 characters gives way to the snippet, and its sections lose
     their headings but stay. Null HTML has no sections. Arrow-batched; other columns pass through.
     """
+    ship_package(pages.sparkSession)
     schema = pages.drop(html_col).withColumn("sections", F.lit(None).cast(SECTION_TYPE)).withColumn("content", F.lit("")).schema
     cut = pages.withColumn(html_col, F.left(html_col, F.lit(MAX_HTML)))
     columns = [c for c in pages.columns if c != html_col]

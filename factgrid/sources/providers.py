@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from factgrid.plans.ship import ship_package
+
 
 class SearchProvider(Protocol):
     def search(self, queries: DataFrame) -> DataFrame:
@@ -67,6 +69,7 @@ class RuleExtract:
         self.plan = plan
 
     def extract(self, prompts: DataFrame) -> DataFrame:
+        ship_package(self.plan.sparkSession)
         fields = self.plan.groupBy("run_id").agg(F.collect_set("field").alias("fields"))
 
         def reply(batches):
@@ -95,6 +98,7 @@ class HashEmbed:
         self.dimensions = dimensions
 
     def embed(self, texts: DataFrame) -> DataFrame:
+        ship_package(texts.sparkSession)
         d = self.dimensions
 
         def run(batches):
