@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factgrid.plans.ship import ship_package
+
 #: Fixed value: the white space of the contracts, `[\x20\x09-\x0D]`, which is also what bytes.split() splits on.
 SPACE_CLASS = "[ \\t\\n\\x0B\\f\\r]"
 
@@ -18,6 +20,7 @@ STEP_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -39,6 +42,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     The files go when the driver's JVM ends.
     """
     spark = df.sparkSession
+    ship_package(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jvm = spark.sparkContext._jvm
@@ -53,6 +57,7 @@ def map_rows(df: DataFrame, fn: Callable[[], Callable[[dict], dict]], schema: st
     fn is called once for each task and returns the function that maps batches, so that
     caches live as long as the task does.
     """
+    ship_package(df.sparkSession)
     arrow_schema = _arrow_schema(df.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,6 +10,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factgrid.plans.ship import ship_package
+
 from .common import held_out, map_rows
 from .labelled import sample
 
@@ -229,6 +231,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS, threshold: float = 0.5) -> DataFrame:
     """The rows of docs, with all their columns, that score below the threshold."""
     model = docs.sparkSession.sparkContext.broadcast(Model(*sample(docs, labels, "toxic", fit_rows, id_col, text_col)))
+    ship_package(docs.sparkSession)
     schema = docs.schema
     at = docs.columns.index(text_col)
 
