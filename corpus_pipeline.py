@@ -30,12 +30,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near fingerprints, the document with the smallest id.
-
-    Five words a shingle, and a similarity of 0.8 or more of the word shingles, which the
-    fingerprints' radius stands for.
-    """
-    return keep_one_of_each(docs, words=5)
+    """Of each component of near-duplicates, the document with the smallest id: five-word shingles, 0.8 alike or more."""
+    return keep_one_of_each(docs, similarity=0.8, words=5)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -11,12 +12,16 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from factgrid.plans.ship import ship_package
+
 from .common import map_rows, materialize
-from .components import connected_components, in_blocks
+from .components import connected_components, in_blocks, whole_groups
 
 BITS = 64
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 ONE = np.uint64(1)
+#: Words of 64 bits of a wide fingerprint; bits of a key that are drawn from it, and keys of a text.
+WIDE, KEY_BITS, KEYS = 4, 14, 48
 #: Rows of a bucket that are compared in one block; larger buckets are dealt into such parts.
 BLOCK_ROWS = 32_768
 #: Buckets of more rows on the average get longer keys.
@@ -27,44 +32,61 @@ SMALL_GROUP = 512
 SWEEP = 1 << 18
 
 
-def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
-    """Bit i is 1 if it is set in over half of the XXH64 of the shingles (repeats count); 0 without words."""
+def shingle_hashes(text: str | None, words: int, seed: int) -> np.ndarray:
+    """XXH64 of every shingle of a text, repeats included; of its whole sequence if it has fewer words."""
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z only, and the six white-space bytes
-    if not parts:
-        return 0
     if len(parts) < words:
-        shingles = iter([b" ".join(parts)])
-        n = 1
+        shingles, n = iter([b" ".join(parts)] if parts else []), min(1, len(parts))
     else:
-        shingles = map(b" ".join, zip(*(parts[i:] for i in range(words)), strict=False))
-        n = len(parts) - words + 1
+        shingles, n = map(b" ".join, zip(*(parts[i:] for i in range(words)), strict=False)), len(parts) - words + 1
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(s, seed) for s in shingles), dtype="<u8", count=n)
+    return np.fromiter((digest(x, seed) for x in shingles), dtype="<u8", count=n)
+
+
+def _majority(h: np.ndarray) -> int:
     ones = np.zeros(BITS, dtype=np.int64)
-    for at in range(0, n, 65_536):
+    for at in range(0, len(h), 65_536):
         ones += np.unpackbits(h[at : at + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
+    """Bit i is 1 if it is set in over half of the XXH64 of the shingles (repeats count); 0 without words."""
+    return _majority(shingle_hashes(text, words, seed))
+
+
+def wide_fingerprint(text: str | None, words: int, seed: int) -> list[int]:
+    """WIDE fingerprints of 64 bits, of hashes that are mixed anew from the same XXH64."""
+    h = shingle_hashes(text, words, seed)
+    out = [_majority(h)]
+    for j in range(1, WIDE):
+        with np.errstate(over="ignore"):  # a finaliser of multiplications and shifts, by Stafford
+            x = h + np.uint64(0x9E3779B97F4A7C15) * np.uint64(j)
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out.append(_majority(x ^ (x >> np.uint64(31))) if len(h) else 0)
+    return out
 
 
 def _planes(fps: np.ndarray, slot: np.ndarray, n_words: int) -> np.ndarray:
-    """Bit planes: plane b, word w holds bit b of the 64 fingerprints in the lanes of w."""
-    out = np.empty((BITS, n_words), dtype=np.uint64)
+    """Bit planes: plane b, word w holds bit b of the 64 fingerprints in the lanes of w. fps: rows x words of 64 bits."""
+    out = np.empty((BITS * fps.shape[1], n_words), dtype=np.uint64)
     lanes = np.zeros(n_words * 64, dtype=np.uint8)
-    for b in range(BITS):
-        lanes[slot] = (fps >> np.uint64(b)) & ONE
+    for b in range(len(out)):
+        lanes[slot] = (fps[:, b // BITS] >> np.uint64(b % BITS)) & ONE
         out[b] = np.packbits(lanes, bitorder="little").view("<u8")
     return out
 
 
-def _exceeds(c0: np.ndarray, c1: np.ndarray, c2: np.ndarray, radius: int) -> np.ndarray:
-    """Lanes whose 3-bit counter is above radius (0 to 6)."""
-    above, same = np.zeros_like(c0), np.full_like(c0, ALL)
-    for bit, c in ((4, c2), (2, c1), (1, c0)):
-        if radius & bit:
-            same = same & c
+def _exceeds(counters: list[np.ndarray], radius: int) -> np.ndarray:
+    """Lanes whose vertical counter is above radius."""
+    above, same = np.zeros_like(counters[0]), np.full_like(counters[0], ALL)
+    for bit in range(len(counters) - 1, -1, -1):
+        if radius >> bit & 1:
+            same = same & counters[bit]
         else:
-            above = above | (same & c)
-            same = same & ~c
+            above = above | (same & counters[bit])
+            same = same & ~counters[bit]
     return above
 
 
@@ -75,26 +97,26 @@ def _within(planes: np.ndarray, query: np.ndarray, word: np.ndarray, valid: np.n
     adder into vertical counters. Pairs in which every lane exceeds the radius are abandoned.
     """
     at = np.arange(len(query))
-    c0, c1, c2 = (np.zeros(len(query), dtype=np.uint64) for _ in range(3))
+    counters = [np.zeros(len(query), dtype=np.uint64) for _ in range(max(3, radius.bit_length()))]
     over = ~valid
     zero = np.uint64(0)
-    for first in range(0, BITS, 3):
-        x = [planes[b][word] ^ (zero - ((query >> np.uint64(b)) & ONE)) for b in range(first, min(first + 3, BITS))]
-        x += [np.zeros_like(c0)] * (3 - len(x))
+    for first in range(0, len(planes), 3):
+        x = [planes[b][word] ^ (zero - ((query[:, b // BITS] >> np.uint64(b % BITS)) & ONE)) for b in range(first, min(first + 3, len(planes)))]
+        x += [np.zeros_like(over)] * (3 - len(x))
         half = x[0] ^ x[1]
         ones, twos = half ^ x[2], (x[0] & x[1]) | (half & x[2])
-        carry = c0 & ones
-        c0 = c0 ^ ones
-        half = c1 ^ carry
-        fours = (c1 & carry) | (half & twos)
-        c1 = half ^ twos
-        over = over | (c2 & fours)
-        c2 = c2 ^ fours
-        over = over | _exceeds(c0, c1, c2, radius)
+        carry = counters[0] & ones
+        counters[0] = counters[0] ^ ones
+        half = counters[1] ^ carry
+        carry = (counters[1] & carry) | (half & twos)
+        counters[1] = half ^ twos
+        for bit in range(2, len(counters)):
+            carry, counters[bit] = counters[bit] & carry, counters[bit] ^ carry
+        over = over | carry | _exceeds(counters, radius)
         if first % 6 == 0:
             alive = over != ALL
             if np.count_nonzero(alive) < 0.7 * len(alive):
-                at, query, word, c0, c1, c2, over = (v[alive] for v in (at, query, word, c0, c1, c2, over))
+                at, query, word, over, *counters = (v[alive] for v in (at, query, word, over, *counters))
                 if not len(at):
                     break
     alive = over != ALL
@@ -120,17 +142,22 @@ class Forest:
             i = p[i]
         return i
 
-    def union(self, i: int, j: int) -> None:
+    def union(self, i: int, j: int) -> bool:
+        """Whether they were apart."""
         i, j = self.find(i), self.find(j)
         if i != j:
             self.parent[max(i, j)] = min(i, j)
+        return i != j
 
 
-def near_forest(fps: np.ndarray, starts: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def near_forest(fps: np.ndarray, starts: np.ndarray, radius: int, pairs_only: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Links (row, root row) that connect what lies within radius inside each group; at most one per row.
 
-    fps: rows of all groups, one behind the other; starts: each group's first row, and the end.
+    fps: rows of all groups, one behind the other, x words of 64 bits; starts: each group's first row, and the end.
+    With pairs_only, links are pairs that lie within radius themselves, still fewer than rows.
     """
+    fps = fps.reshape(len(fps), -1)
+    joined: list[tuple[int, int]] = []
     sizes = np.diff(starts)
     n_words = -(-sizes // 64)
     first_word = np.concatenate([[0], np.cumsum(n_words)])
@@ -163,7 +190,8 @@ def near_forest(fps: np.ndarray, starts: np.ndarray, radius: int) -> tuple[np.nd
     def link(r: np.ndarray, w: np.ndarray, bits: np.ndarray) -> None:
         i, b = _lanes(bits)
         for x, y in zip(r[i].tolist(), row_of_slot[w[i] * 64 + b].tolist(), strict=True):
-            forest.union(x, y)
+            if forest.union(x, y) and pairs_only:
+                joined.append((y, x))
 
     small = sizes <= SMALL_GROUP
     for r, w, valid in pairs(np.nonzero(small[group])[0]):
@@ -182,46 +210,49 @@ def near_forest(fps: np.ndarray, starts: np.ndarray, radius: int) -> tuple[np.nd
             inside = w <= slot[rows[-1]] // 64
             for keep in (inside, ~inside):
                 if keep.any():
+                    if pairs_only:
+                        link(r[keep], w[keep], bits[keep])
+                        continue
                     root = np.array([forest.find(x) for x in r[keep].tolist()])
                     order = np.lexsort((w[keep], root))
                     root, ws, bs = root[order], w[keep][order], bits[keep][order]
                     new = np.nonzero(np.concatenate([[True], (root[1:] != root[:-1]) | (ws[1:] != ws[:-1])]))[0]
                     link(root[new], ws[new], np.bitwise_or.reduceat(bs, new))
+    if pairs_only:
+        return tuple(np.array(x, dtype=np.int64) for x in zip(*joined, strict=True)) if joined else (np.zeros(0, np.int64),) * 2
     parent = np.array([forest.find(i) for i in range(len(fps))], dtype=np.int64)
     child = np.nonzero(parent != np.arange(len(fps)))[0]
     return child, parent[child]
 
 
-def _compare(radius: int):
+def _compare(radius: int, n_words: int = 1):
+    """Links of whole groups of rows (four key columns, fingerprint words, and for wide ones the node)."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        for table, starts in whole_groups(batches, 4, 50_000 // n_words):
+            columns = [c.to_numpy().astype(np.int64, copy=False) for c in table.columns[4:]]
+            fps = np.column_stack(columns[:n_words]).view(np.uint64)
+            child, root = near_forest(fps, starts, radius, n_words > 1)
+            yield pa.RecordBatch.from_arrays([pa.array(columns[-1][child]), pa.array(columns[-1][root])], schema=schema)
 
-        def work(rows: np.ndarray) -> pa.RecordBatch:
-            new = np.concatenate([[True], (rows[1:, :-1] != rows[:-1, :-1]).any(axis=1)])
-            starts = np.concatenate([np.nonzero(new)[0], [len(rows)]])
-            fps = np.ascontiguousarray(rows[:, -1]).view(np.uint64)
-            child, root = near_forest(fps, starts, radius)
-            return pa.RecordBatch.from_arrays([pa.array(rows[child, -1]), pa.array(rows[root, -1])], schema=schema)
+    return run
+
+
+def _drawn_keys(bits: int):
+    """Rows of wide fingerprints and a node to KEYS rows each, with the number of a key and the key."""
+    draw = np.random.default_rng(11)
+    chosen = np.stack([draw.choice(WIDE * BITS, bits, replace=False) for _ in range(KEYS)])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(batch.num_columns)])
-            last = int(np.nonzero(np.concatenate([[True], (rows[1:, :-1] != rows[:-1, :-1]).any(axis=1)]))[0][-1])
-            if last:  # all groups but the last are whole
-                held.append(rows[:last])
-                whole = np.concatenate(held)
-                yield work(whole)
-                held = [rows[last:]]
-            elif held and (held[-1][-1, :-1] != rows[0, :-1]).any():
-                yield work(np.concatenate(held))
-                held = [rows]
-            else:
-                held.append(rows)
-        if held:
-            yield work(np.concatenate(held))
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                columns = [c.to_numpy(zero_copy_only=False) for c in part.columns]
+                on = np.unpackbits(np.column_stack(columns[:WIDE]).view(np.uint8), axis=1, bitorder="little")
+                key = on[:, chosen].astype(np.int64) @ (1 << np.arange(bits, dtype=np.int64))
+                arrays = [pa.array(np.repeat(c, KEYS)) for c in columns] + [pa.array(np.tile(np.arange(KEYS, dtype=np.int32), part.num_rows)), pa.array(key.ravel())]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*part.schema.names, "band", "key"])
 
     return run
 
@@ -281,10 +312,74 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return prints.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _radius_of(similarity: float, spread: float = 3.0) -> int:
+    """Differing bits of wide fingerprints at a Jaccard similarity, and so many standard deviations more."""
+    n = WIDE * BITS
+    p = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+    return math.ceil(n * p + spread * math.sqrt(n * p * (1 - p)))
+
+
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, words: int = 5, seed: int = 42) -> DataFrame:
+    """Components of texts whose sets of word shingles are `similarity` alike (Jaccard): id_col, component_id.
+
+    Wide fingerprints find the candidates: texts that agree in any of KEYS keys, each of KEY_BITS drawn bits or
+    more for many texts, are compared bit-sliced within a radius that similar texts rarely exceed.
+    Each bucket sends out pairs that connect what is near in it, fewer than its rows, and each
+    such pair's shingles are compared exactly. Buckets of different keys connect a group by different
+    pairs, so a pair that fails leaves others.
+
+    Equal wide fingerprints are one class, as are texts without words. Ids are integers; rows of equal ids are one node, rows
+    of null ids are left alone with a null component. Other columns are not read.
+    """
+    ship_package(docs.sparkSession)
+    names = [f"f{i}" for i in range(WIDE)]
+
+    def start():
+        def step(rows: dict) -> dict:
+            prints = [[x - (1 << 64) if x >> 63 else x for x in wide_fingerprint(t, words, seed)] for t in rows["t"]]
+            return {"id": rows["i"]} | {n: [p[k] for p in prints] for k, n in enumerate(names)}
+
+        return step
+
+    frame = docs.select(docs[id_col].cast("long").alias("i"), docs[text_col].alias("t"))
+    prints = materialize(map_rows(frame, start, "id long, " + ", ".join(f"{n} long" for n in names)), "simhash-wide")
+    classes = materialize(prints.filter("id IS NOT NULL").groupBy(*names).agg(F.min("id").alias("rep")), "simhash-wide-classes")
+    bits = KEY_BITS + max(0, (classes.count() // (2048 << KEY_BITS)).bit_length())
+    keys = ["band", "key", "part_a", "part_b"]
+    rows = classes.mapInArrow(_drawn_keys(bits), ", ".join(f"{n} long" for n in names) + ", rep long, band int, key long")
+    # Another order in each band, so that a group is connected by other pairs there.
+    blocks = in_blocks(rows, ["band", "key"], "rep", BLOCK_ROWS).withColumn("order", F.xxhash64("band", "rep"))
+    sorted_blocks = blocks.select(*keys, *names, "rep", "order").repartition(*keys).sortWithinPartitions(*keys, "order").drop("order")
+    near = sorted_blocks.mapInArrow(_compare(_radius_of(similarity), WIDE), "a long, b long")
+    pairs = materialize(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "simhash-pairs")
+
+    # The exact check: distinct shingles of the texts that have a candidate, beside those of its partner.
+    involved = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+
+    def shingles():
+        def step(rows: dict) -> dict:
+            return {"id": rows["i"], "h": [np.unique(shingle_hashes(t, words, seed)).view(np.int64).tolist() for t in rows["t"]]}
+
+        return step
+
+    texts = frame.join(involved, F.col("i") == F.col("id"), "left_semi").groupBy("i").agg(F.max("t").alias("t"))
+    sets = materialize(map_rows(texts, shingles, "id long, h array<long>"), "simhash-shingles")
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("h").alias("ha")), "a").join(sets.select(F.col("id").alias("b"), F.col("h").alias("hb")), "b")
+    common = F.size(F.array_intersect("ha", "hb"))
+    links = both.filter(F.coalesce(common / (F.size("ha") + F.size("hb") - common), F.lit(1.0)) >= similarity).select("a", "b")
+    components = connected_components(links)
+    named = classes.join(components, classes["rep"] == components["node"], "left").select(*names, F.coalesce("component", "rep").alias("component_id"))
+    return prints.join(named, names, "left").select(F.col("id").alias(id_col), F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """The row with the smallest id of each component, with all columns; repeated rows of that id leave one."""
-    found = simhash_components(docs, id_col, text_col, **settings)
+    """The row with the smallest id of each component of similar texts, with all columns.
+
+    Repeated rows of that id leave one; rows of null ids all stay. settings: those of similar_components.
+    """
+    found = similar_components(docs, id_col, text_col, **settings)
     kept = found.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__kept")).distinct()
     joined = docs.join(kept, docs[id_col] == kept["__kept"], "left_semi")
     order = Window.partitionBy(id_col).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    return joined.withColumn("__n", F.row_number().over(order)).filter("__n = 1").drop("__n")
+    first = joined.withColumn("__n", F.row_number().over(order)).filter("__n = 1").drop("__n")
+    return first.unionByName(docs.filter(docs[id_col].isNull()))

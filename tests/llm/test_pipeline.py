@@ -1,7 +1,7 @@
 import corpus_pipeline
 from factgrid.llm.line_dedup import line_dedup
 from factgrid.llm.quality_rules import quality_rules
-from factgrid.llm.simhash import simhash_components
+from factgrid.llm.simhash import similar_components
 from factgrid.llm.toxicity import toxicity
 
 SF = "/root/testdata/sf0.001"
@@ -24,7 +24,7 @@ def test_each_stage_does_what_its_operator_decides(spark):
     assert {(r.doc_id, r.text) for r in lines.collect()} == {(r.doc_id, r.text) for r in line_dedup(clean).collect()}
     assert lines.filter("n_chars <> length(text)").count() == 0
     one = stages["near-duplicates"](spark, lines, SF).cache()
-    groups = simhash_components(lines, words=5)
+    groups = similar_components(lines)
     assert one.columns == docs.columns and ids(one) == ids(groups.select("component_id").distinct().withColumnRenamed("component_id", "doc_id"))
     packed = stages["packing"](spark, one, SF)
     assert {r.doc_id for r in packed.select("doc_id").collect()} == set(ids(one))

@@ -5,7 +5,7 @@ import numpy as np
 import xxhash
 
 from factgrid.llm import components, simhash
-from factgrid.llm.simhash import Forest, fingerprint, keep_one_of_each, near_forest, simhash_components
+from factgrid.llm.simhash import Forest, fingerprint, keep_one_of_each, near_forest, similar_components, simhash_components
 from tests.llm.helpers import ODD, SF, docs
 
 
@@ -67,7 +67,43 @@ def test_whole_table_against_all_pairs(spark):
     prints = [(i, slow_fingerprint(t)) for i, t in sorted(texts.items())]
     for (i, fp), c in zip(prints, slow_components(prints, 4), strict=True):
         assert got[i].fingerprint == f"{fp:016x}" and got[i].component_id == c
-    assert {r.doc_id for r in keep_one_of_each(d).collect()} == {r.component_id for r in got.values()}
+
+
+def jaccard_components(rows, similarity=0.8, n=5):
+    sets = []
+    for _, t in rows:
+        words = (t or "").encode().lower().split()
+        sets.append({tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else {()})
+    f = Forest(len(rows))
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]):
+                f.union(i, j)
+    least = {}
+    for i, r in enumerate(rows):
+        least[f.find(i)] = min(least.get(f.find(i), r[0]), r[0])
+    return {r[0]: least[f.find(i)] for i, r in enumerate(rows)}
+
+
+def test_similar_texts_against_all_pairs(spark):
+    rng = random.Random(9)
+    rows = []
+    for i in range(300):
+        if rows and rng.random() < 0.6:
+            words = rng.choice(rows)[1].split()
+            for _ in range(rng.choice([0, 1, 2, 5, 20])):
+                words[rng.randrange(len(words))] = f"new{rng.random()}"
+        else:
+            words = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(3, 200))]
+        rows.append((i, " ".join(words)))
+    want = jaccard_components(rows)
+    got = {r.doc_id: r.component_id for r in similar_components(docs(spark, rows)).collect()}
+    assert sum(got[i] != c for i, c in want.items()) <= 1  # a candidate may be missed, with a chance of about one in a hundred at 0.8 itself
+    assert {r.doc_id for r in keep_one_of_each(docs(spark, rows)).collect()} == set(got.values())
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    table = [(r.doc_id, r.text) for r in d.collect()]
+    found = {r.doc_id: r.component_id for r in similar_components(d).collect()}
+    assert found == jaccard_components(table)
 
 
 def test_hot_buckets_in_blocks_and_longer_keys(spark, monkeypatch):
@@ -111,5 +147,7 @@ def test_odd_rows(spark):
     want = [(i, slow_fingerprint(t)) for i, t in ODD]
     assert sorted(((r.doc_id or -1, r.fingerprint, r.component_id or -1) for r in got)) == sorted((i or -1, f"{fp:016x}", c or -1) for (i, fp), c in zip(want, slow_components(want, 4), strict=True))
     kept = keep_one_of_each(d)
-    assert kept.columns == d.columns and kept.filter("doc_id = 4").count() == 1
+    assert kept.columns == d.columns and kept.filter("doc_id = 4").count() == 1 and kept.filter("doc_id IS NULL").count() == 1
+    assert {r.doc_id: r.component_id for r in similar_components(d).collect() if r.doc_id in (1, 2, 3, None)} == {1: 1, 2: 1, 3: 1, None: None}
+    assert similar_components(docs(spark, [])).count() == 0
     assert simhash_components(docs(spark, [])).count() == 0
