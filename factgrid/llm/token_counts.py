@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame
 
@@ -18,16 +19,28 @@ SPACE = "▁"
 
 
 class Pieces:
-    """Pieces and their scores as read from a sentencepiece file."""
+    """Pieces and their log-probabilities from a sentencepiece file.
+
+    A unigram file has them as scores. A BPE file only ranks its pieces; by Zipf's law, the
+    piece of rank r has a share in proportion to 1 / r.
+    """
 
     def __init__(self, path: str):
         import sentencepiece as spm
+        from sentencepiece.sentencepiece_model_pb2 import ModelProto
 
-        sp = spm.SentencePieceProcessor(model_file=path)
+        with open(path, "rb") as f:
+            model = ModelProto.FromString(f.read())
+        sp = spm.SentencePieceProcessor(model_proto=model.SerializeToString())
         if sp.get_piece_size() > MAX_PIECES:
             raise ValueError(f"{sp.get_piece_size()} pieces; at most {MAX_PIECES} are sent to executors")
         plain = [i for i in range(sp.get_piece_size()) if not (sp.is_unknown(i) or sp.is_control(i) or sp.is_byte(i) or sp.is_unused(i))]
-        self.score = {sp.id_to_piece(i).replace(SPACE, " "): float(sp.get_score(i)) for i in plain}
+        if model.trainer_spec.model_type == model.trainer_spec.BPE:
+            total = math.log(sum(1 / r for r in range(1, len(plain) + 1)))
+            scores = [-math.log(r) - total for r in range(1, len(plain) + 1)]
+        else:
+            scores = [float(sp.get_score(i)) for i in plain]
+        self.score = {sp.id_to_piece(i).replace(SPACE, " "): s for i, s in zip(plain, scores, strict=True)}
         self.key = hashlib.sha256(repr(sorted(self.score.items())).encode()).hexdigest()
         self.byte_fallback = any(sp.is_byte(i) for i in range(sp.get_piece_size()))
         self.unknown = min(self.score.values(), default=0.0) - UNKNOWN_PENALTY
@@ -73,58 +86,58 @@ class Trie:
         self.score, self.tokens = [0.0], [0]
         self.terminal: dict[str, int] = {}
 
-    def insert(self, word: str) -> int:
-        if len(self.score) > self.max_nodes:
-            self.clear()
+    def insert(self, words: Iterable[str]) -> None:
+        """Adds words in order, so that the path of what a word shares with the one before is walked once."""
         known, lengths, unknown = self.pieces.score, self.pieces.lengths, self.pieces.unknown
         child, score, tokens = self.child, self.score, self.tokens
-        path, node = [0], 0
-        for depth, c in enumerate(word, 1):
-            edge = node << 21 | ord(c)
-            nxt = child.get(edge)
-            if nxt is None:
-                best, fewest = None, 0
-                for n in lengths.get(c, ()):
-                    if n > depth:
-                        break
-                    s = known.get(word[depth - n : depth])
-                    if s is not None:
-                        at = path[depth - n]
-                        s, k = s + score[at], tokens[at] + 1
+        path, last = [0], ""
+        for word in sorted(words):
+            shared, most = 0, min(len(word), len(last))
+            while shared < most and word[shared] == last[shared]:
+                shared += 1
+            del path[shared + 1 :]
+            node, last = path[shared], word
+            for depth in range(shared + 1, len(word) + 1):
+                c = word[depth - 1]
+                edge = node << 21 | ord(c)
+                nxt = child.get(edge)
+                if nxt is None:
+                    best, fewest = None, 0
+                    for n in lengths.get(c, ()):
+                        if n > depth:
+                            break
+                        s = known.get(word[depth - n : depth])
+                        if s is not None:
+                            at = path[depth - n]
+                            s, k = s + score[at], tokens[at] + 1
+                            if best is None or s > best or (s == best and k < fewest):
+                                best, fewest = s, k
+                    if c not in known:
+                        s, k = score[node] + unknown, tokens[node] + (len(c.encode("utf-8", "surrogatepass")) if self.pieces.byte_fallback else 1)
                         if best is None or s > best or (s == best and k < fewest):
                             best, fewest = s, k
-                if c not in known:
-                    s, k = score[node] + unknown, tokens[node] + (len(c.encode("utf-8", "surrogatepass")) if self.pieces.byte_fallback else 1)
-                    if best is None or s > best or (s == best and k < fewest):
-                        best, fewest = s, k
-                nxt = child[edge] = len(score)
-                score.append(best)
-                tokens.append(fewest)
-            node = nxt
-            path.append(node)
-        self.terminal[word] = tokens[node]
-        return tokens[node]
-
-    def count(self, text: str | None) -> tuple[int, int]:
-        """(tokens, pre-tokens) of a text, with the model's space in front unless it is empty."""
-        if not text:
-            return 0, 0
-        words, get, total = self.pieces.pretoken.findall(" " + text), self.terminal.get, 0
-        counts = list(map(get, words))
-        if None in counts:
-            for i, n in enumerate(counts):
-                if n is None:
-                    n = get(words[i])
-                    counts[i] = self.insert(words[i]) if n is None else n
-        total = sum(counts)
-        return total, len(words)
+                    nxt = child[edge] = len(score)
+                    score.append(best)
+                    tokens.append(fewest)
+                node = nxt
+                path.append(node)
+            self.terminal[word] = tokens[node]
+
+    def count(self, texts: list[str | None]) -> list[tuple[int, int]]:
+        """(tokens, pre-tokens) of each text, with the model's space in front unless it is empty."""
+        if len(self.score) > self.max_nodes:
+            self.clear()
+        split = [self.pieces.pretoken.findall(" " + t) if t else [] for t in texts]
+        self.insert(set().union(*split).difference(self.terminal))
+        get = self.terminal.__getitem__
+        return [(sum(map(get, words)), len(words)) for words in split]
 
 
 def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", max_nodes: int = 1_200_000) -> DataFrame:
     """Counts the tokens of every text: columns id_col, n_tokens, n_pretokens (long).
 
-    The model is the unigram one over the pieces and scores of a sentencepiece file: a text's
-    segmentation has the greatest sum of scores, and among equal sums the fewest tokens.
+    The model is the unigram one over the pieces of a sentencepiece file: a text's segmentation
+    has the greatest sum of log-probabilities, and among equal sums the fewest tokens.
     Characters without a piece count as their UTF-8 bytes. Each worker process keeps a trie of the
     pre-tokens it has met; beyond max_nodes it starts anew, which changes no count. No shuffle.
 
@@ -138,7 +151,7 @@ def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
         trie = trie_of(pieces.value, max_nodes)
 
         def step(rows: dict) -> dict:
-            counts = [trie.count(t) for t in rows["t"]]
+            counts = trie.count(rows["t"])
             return {id_col: rows["i"], "n_tokens": [c[0] for c in counts], "n_pretokens": [c[1] for c in counts]}
 
         return step

@@ -1,8 +1,9 @@
 import public_tokenizers as P
+import pytest
 import sentencepiece as spm
-import sentencepiece.sentencepiece_model_pb2 as pb
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer, models
 
 from factgrid.llm.token_counts import Pieces, Trie, brute_force_count, token_counts
 from tests.llm.helpers import ODD, SF, docs
@@ -14,22 +15,24 @@ PIECES = Pieces(MODEL)
 @settings(max_examples=60, deadline=None)
 @given(st.text(alphabet="the aionr\n éß的x", max_size=40))
 def test_trie_is_the_whole_text_dynamic_program(text):
-    assert Trie(PIECES, 50).count(text)[0] == brute_force_count(PIECES, text)
-
-
-def test_agrees_with_the_unigram_mode_of_the_library():
-    model = pb.ModelProto()
-    with open(MODEL, "rb") as f:
-        model.ParseFromString(f.read())
-    model.trainer_spec.model_type = 1
-    sp = spm.SentencePieceProcessor(model_proto=model.SerializeToString())
-    words = ["the", "nation", "therefore", "international", "reanding", "ouened"]
-    known = {w: brute_force_count(PIECES, w) for w in words}
-    for w in words:
-        best = sum(sp.get_score(i) for i in sp.encode(w))
-        ours = Trie(PIECES, 1000)
-        ours.count(w)
-        assert max(ours.score[-1], best) == ours.score[-1] and known[w] <= len(sp.encode(w))
+    trie = Trie(PIECES, 50)
+    for part in ([text[::-1], text], [None, ""], [text]):
+        assert [n for n, _ in trie.count(part)] == [brute_force_count(PIECES, t) for t in part]
+
+
+def test_agrees_with_a_library_for_unigram_models():
+    library = Tokenizer(models.Unigram([("<unk>", PIECES.unknown), *PIECES.score.items()], 0, False))
+    for w in ("the", " the nation", " therefore", " international", " reanding", " ouened", " Éducation"):
+        trie, ids = Trie(PIECES, 1000), library.encode(w).ids
+        trie.insert([w])
+        assert trie.score[-1] == pytest.approx(sum(PIECES.score[library.id_to_token(i)] for i in ids)) and trie.tokens[-1] == len(ids)
+
+
+def test_counts_are_near_those_of_the_files_own_mode():
+    sp = spm.SentencePieceProcessor(model_file=MODEL)
+    texts = ["The people of the city were there when the river rose again in the spring of that year.", "Les habitants de la ville ont vu la rivière monter."]
+    for t in texts:
+        assert abs(Trie(PIECES, 1000).count([t])[0][0] - len(sp.encode(t))) <= 2
 
 
 def test_query_on_whole_table_and_odd_rows(spark):
