@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass
 
@@ -102,8 +103,14 @@ def _key(dims: list[str]) -> Column:
 
 
 def _small(spark, rows: list[tuple], schema: str) -> DataFrame:
-    """One row for each node: as many as there are shards at most."""
-    df = spark.createDataFrame(rows, schema)
+    """One row for each node: as many as there are shards at most.
+
+    They come as literals in the plan, since a list of Python rows would go through Python workers.
+    """
+    text = json.dumps([list(r) for r in rows])
+    fields = [f.strip().split(" ") for f in schema.split(",")]
+    values = F.explode(F.from_json(F.lit(text), "array<array<string>>"))
+    df = spark.range(1, numPartitions=1).select(values.alias("r")).select(*[F.col("r")[i].cast(kind).alias(name) for i, (name, kind) in enumerate(fields)])
     return F.broadcast(df) if len(rows) <= 100_000 else df
 
 
