@@ -333,3 +333,19 @@ SELECT p_partkey AS batch, CASE kind WHEN 0 THEN concat('[', e, ']') WHEN 1 THEN
 FROM (SELECT p_partkey, p_partkey % 8 AS kind, concat('{"name": "', p_name, '", "attributes": {"type": {"value": "', v, '", "source_snippet": "seen as ', v, '"}, "size": "', p_size, '", "other": "x"}}') AS e
       FROM (SELECT *, CASE p_partkey % 6 WHEN 0 THEN 'N/A' WHEN 1 THEN 'Not stated' ELSE p_type END AS v FROM part))
 """
+
+ORACLE_SQL["json_results"] = """
+SELECT 'r' AS run_id, page_id AS query_ord, k AS rank, CASE k WHEN 0 THEN url ELSE url || '#2' END AS url, CASE k WHEN 0 THEN 't' || page_id ELSE '' END AS title, 's' AS snippet
+FROM pages CROSS JOIN (SELECT unnest([0::BIGINT, 1::BIGINT]) AS k) WHERE page_id % 6 > 1
+"""
+ORACLE_SQL["html_results"] = """
+SELECT 'r' AS run_id, page_id AS query_ord, CASE WHEN k > 2 THEN k - 1 ELSE k END AS rank, concat('https://s.org/', page_id, '-', k) AS url, 'Title' || k AS title, CASE k WHEN 1 THEN '' ELSE 'some text' END AS snippet
+FROM pages CROSS JOIN (SELECT unnest([0::BIGINT, 1::BIGINT, 3::BIGINT, 4::BIGINT]) AS k)
+"""
+ORACLE_SQL["plan_replies"] = """
+SELECT CAST(page_id AS VARCHAR) AS run_id, k AS ord, 'f' || k AS field, CASE k WHEN 1 THEN 'a|b' ELSE '' END AS synonyms FROM pages CROSS JOIN (SELECT unnest(range(6)) AS k) WHERE page_id % 4 <> 3
+"""
+ORACLE_SQL["filled_replies"] = """
+SELECT CAST(p_partkey AS VARCHAR) AS run_id, p_name AS name, 'type' AS field, p_type AS value, 'u' AS source_url, 's' AS snippet FROM part
+UNION ALL SELECT CAST(p_partkey AS VARCHAR), p_name, 'size', CAST(p_size AS VARCHAR), 'u', '' FROM part WHERE p_partkey % 3 <> 0
+"""

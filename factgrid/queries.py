@@ -11,6 +11,7 @@ from factgrid.functions import text
 from factgrid.operators import audit, cache, export, extract, gapfill, merge, pages, route, search
 from factgrid.plans import fixtures
 from factgrid.plans.table import final_tables
+from factgrid.sources import replies
 from factgrid.sources.html import with_sections
 from factgrid.streaming import events
 
@@ -101,6 +102,48 @@ def query_checks(spark: SparkSession, d: str) -> DataFrame:
     return c.select("conv_id", "turn", search.is_query(F.col("text")).alias("accepted"), F.array_join(search.extra_queries(F.col("text"), planned), "|").alias("extra"))
 
 
+@query
+def json_results(spark: SparkSession, d: str) -> DataFrame:
+    """Result lists of two hits each, one of them without a title, and bodies that are no list."""
+    p = fixtures.table(spark, d, "pages").select("page_id", "url")
+    hit = F.struct(F.col("url").alias("link"), F.concat(F.lit("t"), F.col("page_id").cast("string")).alias("title"), F.lit("s").alias("snippet"))
+    bare = F.struct(F.concat("url", F.lit("#2")).alias("link"), F.lit(None).cast("string").alias("title"), F.lit("s").alias("snippet"))
+    body = F.when(F.col("page_id") % 6 == 0, "busy").when(F.col("page_id") % 6 == 1, '{"answer": 1}').otherwise(F.to_json(F.struct(F.array(hit, bare).alias("organic"))))
+    return replies.json_results(p.select(F.lit("r").alias("run_id"), F.col("page_id").alias("query_ord"), body.alias("body")))
+
+
+@query
+def html_results(spark: SparkSession, d: str) -> DataFrame:
+    """Result pages of seven blocks, of which five count and one of those has no title."""
+    p = fixtures.table(spark, d, "pages").select("page_id")
+    n = F.col("page_id").cast("string")
+
+    def block(k: int):
+        title = F.lit("") if k == 2 else F.concat(F.lit('<h2 class="result__title"><a href="//d/l/?uddg=https%3A%2F%2Fs.org%2F'), n, F.lit(f"-{k}&x=1\">Title <b>{k}</b></a></h2>"))
+        return F.concat(F.lit('<div class="result web">'), title, F.lit("" if k == 1 else '<a class="result__snippet">some text</a>'), F.lit("</div>"))
+
+    return replies.html_results(p.select(F.lit("r").alias("run_id"), F.col("page_id").alias("query_ord"), F.concat(*map(block, range(7))).alias("body")))
+
+
+@query
+def plan_replies(spark: SparkSession, d: str) -> DataFrame:
+    """Plans of eight fields in fences, and replies that are none."""
+    p = fixtures.table(spark, d, "pages").select("page_id")
+    names = ", ".join(f'"f{i}"' for i in range(8))
+    body = F.concat(F.lit('```json\n{"entity_type": "page '), F.col("page_id").cast("string"), F.lit('", "schema_fields": [' + names + '], "search_queries": ["q"], "field_synonyms": {"f1": ["a", "b"]}}\n```'))
+    plans = replies.parse_plans(p.select(F.col("page_id").cast("string").alias("run_id"), F.when(F.col("page_id") % 4 == 3, "no plan").otherwise(body).alias("body")))
+    return replies.plan_rows(plans).select("run_id", F.col("ord").cast("long").alias("ord"), "field", F.array_join("synonyms", "|").alias("synonyms"))
+
+
+@query
+def filled_replies(spark: SparkSession, d: str) -> DataFrame:
+    """Fillings as objects and as plain values, some of them cut off behind the first."""
+    p = fixtures.table(spark, d, "part")
+    start = F.concat(F.lit('{"filled": {"'), "p_name", F.lit('": {"type": {"value": "'), "p_type", F.lit('", "source_snippet": "s"}'))
+    body = F.when(F.col("p_partkey") % 3 == 0, F.concat(start, F.lit(', "size": "cut o'))).otherwise(F.concat(start, F.lit(', "size": '), F.col("p_size").cast("string"), F.lit("}}}")))
+    return replies.parse_filled(p.select(F.col("p_partkey").cast("string").alias("run_id"), body.alias("body"), F.lit("u").alias("source_url")))
+
+
 # Pages and routing
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from factgrid.functions import text
 from factgrid.operators import audit, cache, export, extract, gapfill, merge, pages, route, search
+from factgrid.plans.run import run_topics
 from factgrid.plans.table import final_tables
 from factgrid.sources.html import jsonld_records, parse_sections, with_sections
 from factgrid.sources.providers import HashEmbed, RuleExtract, TableSearch
@@ -287,3 +288,29 @@ def test_event_frames(spark, tmp_path):
 @given(st.text(max_size=30))
 def test_tokenised_text_of_any_markup_is_parsed(markup):
     parse_sections(f"<div>{markup}</div><p>{markup}</p>")
+
+
+class TableFetch:
+    """Fetches from a table of pages (url, html); what isn't there times out."""
+
+    def __init__(self, pages_table):
+        self.table = pages_table
+
+    def fetch(self, hits):
+        found = hits.join(self.table, "url", "left")
+        there = F.col("html").isNotNull()
+        return found.select("run_id", "page_ord", "url", "title", "snippet", F.when(there, 200).alias("status"), F.when(there, "text/html").alias("content_type"), "html", F.when(~there, "timeout").alias("fetch_error"), F.lit(100).alias("elapsed_ms"))
+
+
+def test_topics_to_tables_with_stand_ins(spark):
+    things = [("Alpha Cafe", "thai"), ("Beta Diner", "greek"), ("Gamma Grill", "thai")]
+    record = lambda n, c: json.dumps({"name": n, "servesCuisine": c, "telephone": "1"})
+    html = [(f"https://s{k}.org/{i}", f'<html><head><script type="application/ld+json">{record(n, c)}</script></head><body><p>{n} is a restaurant with {c} food, {'and its page says more than enough about it, ' * 5}no doubt.</p></body></html>') for k in range(2) for i, (n, c) in enumerate(things)]
+    corpus = spark.createDataFrame([(u, "t", "restaurants in town", h) for u, h in html] + [("https://gone.org/", "t", "restaurants of old", None)], "url string, title string, text string, html string")
+    plan = spark.createDataFrame([("r", 0, "name", []), ("r", 1, "cuisine", ["food"]), ("r", 2, "phone", []), ("r", 3, "website", [])], "run_id string, ord int, field string, synonyms array<string>")
+    requests = spark.createDataFrame([("r", "restaurants", ["restaurants old", "x"]), ("short", "ab", [])], "run_id string, query string, planned array<string>")
+    done = run_topics(requests, plan, TableSearch(corpus, 10), TableFetch(corpus.filter("html IS NOT NULL").select("url", "html")), RuleExtract(plan))
+    assert done.hits.count() == 7 and done.pages.filter("error = 'timeout'").count() == 0
+    shown = {(r.name, r.field): (r.value, r.agreement_count, r.cell_confidence) for r in done.tables.long().collect()}
+    assert shown == {(n, f): (v, 1, 0.7) for n, c in things for f, v in (("cuisine", c), ("phone", "1"))}
+    assert done.unavailable().count() == 0
