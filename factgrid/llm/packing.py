@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import map_rows, materialize
 
 #: Chunks and words that a worker process remembers the ids of, and words that are encoded at once.
-CACHED_CHUNKS, ENCODED_WORDS = 1_000_000, 20_000
+CACHED_CHUNKS, ENCODED_WORDS = 800_000, 20_000
 #: White space of any kind but the six ASCII ones, which str.split() would also split on.
 OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 CHUNK = re.compile(r"[^ \t-\r]+")

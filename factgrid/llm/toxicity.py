@@ -109,7 +109,7 @@ class Votes:
         lower = text.lower()
         words = WORD.findall(lower)
         known = self.known
-        if len(known) > 300_000:
+        if len(known) > 150_000:
             known.clear()
         for w in set(words).difference(known):
             known[w] = self._of_word(w)
