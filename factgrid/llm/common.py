@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factgrid.plans.materialize import cut
 from factgrid.plans.ship import ship_package
 
 #: Fixed value: the white space of the contracts, `[\x20\x09-\x0D]`, which is also what bytes.split() splits on.
@@ -24,31 +23,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is made only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    own = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if own.isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="factgrid-"))
-        own = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return own.get()
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts lineage, and survives lost executors.
-
-    The files go when the driver's JVM ends.
-    """
-    spark = df.sparkSession
-    ship_package(spark)
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    jpath = jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return spark.read.schema(df.schema).parquet(path)
+def materialize(df: DataFrame) -> DataFrame:
+    """A cut in the shared folder, of a plan that may run this package's functions."""
+    ship_package(df.sparkSession)
+    return cut(df)
 
 
 def map_rows(df: DataFrame, fn: Callable[[], Callable[[dict], dict]], schema: str) -> DataFrame:

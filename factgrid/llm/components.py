@@ -21,7 +21,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     allowed, nulls are ignored.
     """
     e = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e = materialize(e, "edges")
+    e = materialize(e)
     seen = None
     while True:
         now = e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
@@ -33,7 +33,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.filter("x > n").join(least, "n").select(F.col("x").alias("u"), F.col("m").alias("v")).distinct()
         root = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(root, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        e = materialize(small.unionByName(root.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        e = materialize(small.unionByName(root.select("u", F.col("m").alias("v"))).distinct())
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 

@@ -149,23 +149,23 @@ def embedding_components(
     rows = vectors.select(vectors[id_col].cast("long").alias("id"), label.alias("label"), vectors[vector_col].cast(stored).alias("v"))
     hashes, tables = tables_for(vectors.count(), cosine)
     schema = f"id long, label string, h1 long, h2 long, codes array<int>, vec {stored}"
-    base = materialize(rows.mapInArrow(_hashed(_arrow_schema(spark, schema), hashes, tables, seed), schema), "vectors")
+    base = materialize(rows.mapInArrow(_hashed(_arrow_schema(spark, schema), hashes, tables, seed), schema))
 
     same = ["label", "h1", "h2"]
     classes = base.filter("h1 IS NOT NULL").groupBy(*same).agg(F.min("id").alias("cls"), F.count(F.lit(1)).alias("n"), F.first("codes").alias("codes"), F.first("vec").alias("vec"))
-    classes = materialize(classes.withColumn("dim", F.size("vec")), "vector-classes")
+    classes = materialize(classes.withColumn("dim", F.size("vec")))
     keys = ["label", "dim", "t", "code"]
     coded = classes.select("label", "dim", F.posexplode("codes").alias("t", "code"), "h1", "h2")
     blocks = in_blocks(coded, keys, "h1", BLOCK_ROWS)
     full = blocks.join(classes.select(*same, "cls", "n", "codes", "vec"), same)
     keys += ["part_a", "part_b"]
     full = full.select(*keys, "own", "cls", "n", "codes", "vec").repartition(*keys).sortWithinPartitions(*keys)
-    links = materialize(full.mapInArrow(_linked(cosine), "cls long, add long, root long"), "vector-links")
+    links = materialize(full.mapInArrow(_linked(cosine), "cls long, add long, root long"))
 
     weights = links.groupBy("cls").agg(F.sum("add").alias("linked"))
     components = connected_components(links.select(F.col("cls").alias("a"), F.col("root").alias("b")))
     known = classes.select(*same, "cls", "n").join(weights, "cls", "left").join(components.withColumnRenamed("node", "cls"), "cls", "left")
-    known = materialize(known.select(*same, (F.col("n") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("component", "cls").alias("component_id")), "vector-known")
+    known = materialize(known.select(*same, (F.col("n") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("component", "cls").alias("component_id")))
     component = F.coalesce("component_id", "id")
     return base.select("id", *same).join(known, same, "left").select(
         F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept")

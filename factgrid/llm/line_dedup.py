@@ -70,11 +70,11 @@ def _ranks(rows: DataFrame) -> DataFrame:
 
     pairs = rows.groupBy("r1", "r2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     in_order = pairs.repartitionByRange("r1", "r2").sortWithinPartitions("r1", "r2")
-    summed = materialize(in_order.mapInArrow(add_up, "r1 long, r2 long, own long, n long, range int"), "suffix-pairs")
+    summed = materialize(in_order.mapInArrow(add_up, "r1 long, r2 long, own long, n long, range int"))
     # One row for each range, so this window is small however long the text is.
     ranges = summed.groupBy("range").agg(F.sum("n").alias("n"))
     before = ranges.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))
-    return materialize(summed.join(before, "range").select("r1", "r2", (F.col("before") + F.col("own")).alias("rank")), "suffix-ranks")
+    return materialize(summed.join(before, "range").select("r1", "r2", (F.col("before") + F.col("own")).alias("rank")))
 
 
 def repeated_runs(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
@@ -98,18 +98,17 @@ def repeated_runs(docs: DataFrame, id_col: str, text_col: str, min_words: int) -
         return step
 
     schema = f"id {id_type}, k1 long, k2 long, words long, h1 array<long>, h2 array<long>, windows array<array<int>>"
-    lines = materialize(map_rows(docs.select(docs[id_col].alias("id"), text.alias("t"), *_text_keys(text)), start, schema), "lines")
+    lines = materialize(map_rows(docs.select(docs[id_col].alias("id"), text.alias("t"), *_text_keys(text)), start, schema))
 
     # Equal texts are one document, that of the smallest id: a later copy goes whole if it has the words.
     texts = materialize(
-        lines.groupBy("k1", "k2").agg(F.min(F.struct("id"))["id"].alias("rep"), F.first("h1").alias("h1"), F.first("h2").alias("h2"), F.first("windows").alias("windows")), "line-texts"
-    )
+        lines.groupBy("k1", "k2").agg(F.min(F.struct("id"))["id"].alias("rep"), F.first("h1").alias("h1"), F.first("h2").alias("h2"), F.first("windows").alias("windows")))
     at = texts.select("rep", *DOC, F.posexplode(F.arrays_zip("h1", "h2", "windows")).alias("i", "line"))
     at = at.select("rep", *DOC, "i", F.col("line.h1").alias("r1"), F.col("line.h2").alias("r2"), F.col("line.windows").alias("windows"))
 
     # Prefix doubling: level k ranks the runs of 2^k lines that are found twice or more.
     def ranked(rows: DataFrame, keep: list[str]) -> DataFrame:
-        return materialize(rows.join(_ranks(rows), ["r1", "r2"]).select(*DOC, "i", "rank", *keep), "suffix-level")
+        return materialize(rows.join(_ranks(rows), ["r1", "r2"]).select(*DOC, "i", "rank", *keep))
 
     level = ranked(at, ["rep", "windows"])
     windows = level.select("rep", *DOC, "i", F.explode("windows").alias("length"))
@@ -118,7 +117,7 @@ def repeated_runs(docs: DataFrame, id_col: str, text_col: str, min_words: int) -
     levels = level.withColumn("k", F.lit(0))
     for k in range(1, int(longest).bit_length()):
         right = level.select(*DOC, (F.col("i") - (1 << (k - 1))).alias("i"), F.col("rank").alias("r2"))
-        pairs = materialize(level.withColumnRenamed("rank", "r1").join(right, [*DOC, "i"]), "suffix-doubled")
+        pairs = materialize(level.withColumnRenamed("rank", "r1").join(right, [*DOC, "i"]))
         if pairs.isEmpty():
             break
         level = ranked(pairs, [])
@@ -129,15 +128,15 @@ def repeated_runs(docs: DataFrame, id_col: str, text_col: str, min_words: int) -
     windows = windows.withColumn("k", k).withColumn("first", F.col("i")).withColumn("second", F.expr("i + length - shiftleft(1, k)"))
     for name in ("first", "second"):
         windows = windows.join(levels.select(*DOC, "k", F.col("i").alias(name), F.col("rank").alias(f"{name}_rank")), [*DOC, "k", name])
-    found = materialize(windows.select("rep", *DOC, "i", "length", "first_rank", "second_rank"), "line-windows")
+    found = materialize(windows.select("rep", *DOC, "i", "length", "first_rank", "second_rank"))
     same = ["length", "first_rank", "second_rank"]
     here = F.struct("rep", *DOC, "i")
-    earliest = materialize(found.groupBy(*same).agg(F.min(here).alias("earliest"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "line-earliest")
+    earliest = materialize(found.groupBy(*same).agg(F.min(here).alias("earliest"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
     later = found.join(earliest, same).filter(here != F.col("earliest"))
     of_text = later.groupBy("k1", "k2").agg(F.collect_set(F.struct("i", "length")).alias("gone"))  # at most a few for each line of one text
 
     counted = texts.select("k1", "k2", "rep", F.size("h1").alias("n_lines")).join(of_text, ["k1", "k2"], "left")
-    counted = materialize(counted, "line-gone")
+    counted = materialize(counted)
     each = lines.select("id", "k1", "k2", "words").distinct().join(counted, ["k1", "k2"])
     copy = ~F.col("id").eqNullSafe(F.col("rep")) & (F.col("words") >= min_words)
     each = each.filter(copy | F.col("gone").isNotNull())
@@ -158,7 +157,7 @@ def repeated_runs(docs: DataFrame, id_col: str, text_col: str, min_words: int) -
         return step
 
     chosen = each.select("id", "k1", "k2", "n_lines", F.when(copy, whole).otherwise(F.col("gone")).alias("gone"))
-    return materialize(map_rows(chosen, complement, f"id {id_type}, k1 long, k2 long, n_lines int, kept array<struct<start int, length int>>"), "line-kept")
+    return materialize(map_rows(chosen, complement, f"id {id_type}, k1 long, k2 long, n_lines int, kept array<struct<start int, length int>>"))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, counts: tuple[str, str] | None = None) -> DataFrame:

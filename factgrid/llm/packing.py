@@ -197,7 +197,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
         return step
 
     frame = docs.select(docs[id_col].alias("i"), docs[text_col].alias("t"))
-    pieces = materialize(map_rows(frame, start, f"id {id_type}, piece int, start long, length long, ids_crc32 long, block int, own long"), "pieces")
+    pieces = materialize(map_rows(frame, start, f"id {id_type}, piece int, start long, length long, ids_crc32 long, block int, own long"))
     counts = pieces.groupBy("length", "block").agg(F.count(F.lit(1)).alias("n"))
     before = counts.select("length", "block", (F.sum("n").over(Window.partitionBy("length").orderBy("block")) - F.col("n")).alias("before"))
     ranked = pieces.join(before, ["length", "block"]).withColumn("rank", F.col("before") + F.col("own"))

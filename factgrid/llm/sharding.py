@@ -91,7 +91,7 @@ def _split(groups: DataFrame, nodes: list[Node], dims: list[str]) -> tuple[DataF
     if left_of:
         moved = groups.join(_small(spark, left_of, "node int, dim int, cut long, step int"), "node", "left")
         node = F.when(F.col("cut").isNotNull() & (_key(dims) >= F.col("cut")), F.col("node") + F.col("step")).otherwise(F.col("node"))
-        groups = materialize(moved.withColumn("node", node).select(*groups.columns), "kd-level")
+        groups = materialize(moved.withColumn("node", node).select(*groups.columns))
     return groups, after
 
 
@@ -146,8 +146,7 @@ def kd_shards(
             F.crc32(text.cast("binary")).alias("crc"),
             F.xxhash64(text).alias("hash"),
             *[docs[c].cast("string").alias(f"c{i}") for i, c in enumerate(named)],
-        ),
-        "kd-rows",
+        )
     )
     dims = ["d_size", *[f"d{i}" for i in range(len(named))]]
     groups = (
@@ -161,7 +160,7 @@ def kd_shards(
             F.lit(0).alias("node"),
         )
     )
-    groups = materialize(groups, "kd-groups")
+    groups = materialize(groups)
     total = groups.agg(F.coalesce(F.sum("w"), F.lit(0)).alias("w"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     count = shards if shards is not None else max(1, math.ceil(total["w"] / target_bytes))
     # A group that outweighs an even share has a shard of its own, and the share of the rest is less.
@@ -175,7 +174,7 @@ def kd_shards(
     groups = groups.withColumn("node", F.lit(len(alone)))
     if alone:
         own = _small(spark, alone, "hash long, crc long, size long, own int")
-        groups = materialize(groups.join(own, ["hash", "crc", "size"], "left").withColumn("node", F.coalesce("own", "node")).drop("own").select(*groups.columns), "kd-groups")
+        groups = materialize(groups.join(own, ["hash", "crc", "size"], "left").withColumn("node", F.coalesce("own", "node")).drop("own").select(*groups.columns))
     while any(n.shards > 1 for n in nodes):
         groups, nodes = _split(groups, nodes, dims)
 

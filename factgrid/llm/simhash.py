@@ -291,8 +291,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
         return step
 
-    prints = materialize(map_rows(docs.select(docs[id_col].alias("i"), docs[text_col].alias("t")), start, f"id {id_type}, fp long"), "simhash")
-    classes = materialize(prints.groupBy("fp").agg(F.min("id").alias("rep")), "simhash-classes")
+    prints = materialize(map_rows(docs.select(docs[id_col].alias("i"), docs[text_col].alias("t")), start, f"id {id_type}, fp long"))
+    classes = materialize(prints.groupBy("fp").agg(F.min("id").alias("rep")))
     bands = _bands(classes.count(), radius)
 
     def key(cuts: list[tuple[int, int]]):
@@ -342,8 +342,8 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return step
 
     frame = docs.select(docs[id_col].cast("long").alias("i"), docs[text_col].alias("t"))
-    prints = materialize(map_rows(frame, start, "id long, " + ", ".join(f"{n} long" for n in names)), "simhash-wide")
-    classes = materialize(prints.filter("id IS NOT NULL").groupBy(*names).agg(F.min("id").alias("rep")), "simhash-wide-classes")
+    prints = materialize(map_rows(frame, start, "id long, " + ", ".join(f"{n} long" for n in names)))
+    classes = materialize(prints.filter("id IS NOT NULL").groupBy(*names).agg(F.min("id").alias("rep")))
     bits = KEY_BITS + max(0, (classes.count() // (2048 << KEY_BITS)).bit_length())
     keys = ["band", "key", "part_a", "part_b"]
     rows = classes.mapInArrow(_drawn_keys(bits), ", ".join(f"{n} long" for n in names) + ", rep long, band int, key long")
@@ -351,7 +351,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     blocks = in_blocks(rows, ["band", "key"], "rep", BLOCK_ROWS).withColumn("order", F.xxhash64("band", "rep"))
     sorted_blocks = blocks.select(*keys, *names, "rep", "order").repartition(*keys).sortWithinPartitions(*keys, "order").drop("order")
     near = sorted_blocks.mapInArrow(_compare(_radius_of(similarity), WIDE), "a long, b long")
-    pairs = materialize(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "simhash-pairs")
+    pairs = materialize(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct())
 
     # The exact check: distinct shingles of the texts that have a candidate, beside those of its partner.
     involved = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
@@ -363,7 +363,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return step
 
     texts = frame.join(involved, F.col("i") == F.col("id"), "left_semi").groupBy("i").agg(F.max("t").alias("t"))
-    sets = materialize(map_rows(texts, shingles, "id long, h array<long>"), "simhash-shingles")
+    sets = materialize(map_rows(texts, shingles, "id long, h array<long>"))
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("h").alias("ha")), "a").join(sets.select(F.col("id").alias("b"), F.col("h").alias("hb")), "b")
     common = F.size(F.array_intersect("ha", "hb"))
     links = both.filter(F.coalesce(common / (F.size("ha") + F.size("hb") - common), F.lit(1.0)) >= similarity).select("a", "b")
