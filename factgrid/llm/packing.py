@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import map_rows, materialize
 
 #: Chunks and words that a worker process remembers the ids of, and words that are encoded at once.
-CACHED_CHUNKS, ENCODED_WORDS = 800_000, 20_000
+CACHED_CHUNKS, ENCODED_WORDS = 800_000, 500
 #: White space of any kind but the six ASCII ones, which str.split() would also split on.
 OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 CHUNK = re.compile(r"[^ \t-\r]+")
@@ -59,44 +59,59 @@ class ChunkTokenizer:
         return found
 
     def _learn(self, chunks: list[str]) -> None:
-        split, new = [], {}
+        known = self.ids
+        cased, ended, new = [], [], {}
         for chunk in chunks:
-            word = chunk.rstrip(PUNCTUATION)
-            if word.isalpha():
-                lower = word.lower() if word.isascii() else word
-                split.append((chunk, lower, chunk[len(word) :]))
-                if lower not in self.ids:
-                    new[lower] = None
-            else:
+            word = chunk if chunk.isalpha() else chunk.rstrip(PUNCTUATION)
+            if not word.isalpha():
                 self._one(chunk)
+                continue
+            lower = word.lower() if word.isascii() else word
+            if lower not in known:
+                new[lower] = None
+            if word is not chunk:
+                ended.append((chunk, lower, chunk[len(word) :]))
+            elif lower != word:
+                cased.append((word, lower))
         words = list(new)
-        for at in range(0, len(words), ENCODED_WORDS):
-            part = words[at : at + ENCODED_WORDS]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
-            ends = (np.nonzero(self.ends[ids])[0] + 1) * 4
-            if len(ends) == len(part):
-                raw, start = ids.tobytes(), 0
-                for word, end in zip(part, ends.tolist(), strict=True):
-                    self.ids[word] = raw[start:end]
-                    start = end
-            else:  # letters that the tokenizer's normal form takes apart
-                for word in part:
-                    self._one(word)
-        for chunk, lower, rest in split:
-            self.ids[chunk] = self.ids[lower] + self._one(rest) if rest else self.ids[lower]
+        groups = [words[at : at + ENCODED_WORDS] for at in range(0, len(words), ENCODED_WORDS)]
+        for at in range(0, len(groups), 20):
+            part = groups[at : at + 20]
+            for group, found in zip(part, self.tokenizer.encode_batch_fast([" ".join(g) for g in part], add_special_tokens=False), strict=True):
+                ids = np.array(found.ids, dtype="<u4")
+                ends = (np.nonzero(self.ends[ids])[0] + 1) * 4
+                if len(ends) == len(group):
+                    raw, cuts = ids.tobytes(), [0, *ends.tolist()]
+                    known.update(zip(group, [raw[i:j] for i, j in zip(cuts, cuts[1:], strict=False)], strict=True))
+                else:  # letters that the tokenizer's normal form takes apart
+                    for word in group:
+                        self._one(word)
+        for chunk, lower in cased:
+            known[chunk] = known[lower]
+        for chunk, lower, rest in ended:
+            known[chunk] = known[lower] + self._one(rest)
 
     def encode(self, texts: list[str | None], end_id: int) -> list[bytes]:
         """Each text's ids and end_id as little-endian unsigned 32-bit numbers."""
-        end, chunked = end_id.to_bytes(4, "little"), []
-        for text in texts:
-            chunked.append([] if not text else CHUNK.findall(text) if OTHER_SPACE.search(text) else text.split())
-        known = self.ids
+        end, known = end_id.to_bytes(4, "little"), self.ids
         if len(known) > CACHED_CHUNKS:
             known.clear()
-        new = set().union(*chunked).difference(known)
-        if new:
-            self._learn(list(new))
-        return [b"".join(map(known.__getitem__, chunks)) + end for chunks in chunked]
+        found, gaps, new = [], [], set()
+        for text in texts:
+            chunks = [] if not text else CHUNK.findall(text) if OTHER_SPACE.search(text) else text.split()
+            parts = list(map(known.get, chunks))
+            if None in parts:
+                at = [i for i, p in enumerate(parts) if p is None]
+                missing = [chunks[i] for i in at]
+                new.update(missing)
+                gaps.append((parts, at, missing))
+            parts.append(end)
+            found.append(parts)
+        self._learn(list(new))
+        for parts, at, missing in gaps:
+            for i, chunk in zip(at, missing, strict=True):
+                parts[i] = known[chunk]
+        return [b"".join(parts) for parts in found]
 
 
 def plan_bins(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
