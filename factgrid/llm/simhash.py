@@ -24,6 +24,8 @@ ONE = np.uint64(1)
 WIDE, KEY_BITS, KEYS = 4, 14, 48
 #: Rows of a bucket that are compared in one block; larger buckets are dealt into such parts.
 BLOCK_ROWS = 32_768
+#: The same where the texts' shingle sets go along.
+VERIFY_ROWS = 1024
 #: Buckets of more rows on the average get longer keys.
 FULL_BUCKET = 256
 #: Groups of up to so many rows are compared in one sweep over many groups.
@@ -239,10 +241,105 @@ def _compare(radius: int, n_words: int = 1):
     return run
 
 
-def _drawn_keys(bits: int):
-    """Rows of wide fingerprints and a node to KEYS rows each, with the number of a key and the key."""
+def near_pairs(fps: np.ndarray, label: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Every pair of rows (x, y), x < y, within radius and of different labels, in the order of x, a part at a time."""
+    n = len(fps)
+    step = max(1, (SWEEP << 2) // n)
+    for at in range(0, n, step):
+        rows = slice(at, min(at + step, n))
+        apart = sum(np.bitwise_count(fps[rows, None, k] ^ fps[None, at:, k]).astype(np.uint16) for k in range(fps.shape[1]))
+        x, y = np.nonzero((apart <= radius) & (label[rows, None] != label[None, at:]))
+        later = x < y
+        yield x[later] + at, y[later] + at
+
+
+def _apart(radius: int, n_words: int, chosen: np.ndarray):
+    """Of whole groups of rows (four key columns, fingerprint words, node, label), those that lie within radius of one of another label.
+
+    A pair is left to the first key that both have in common.
+    """
+    names = ["band", "key", "part_a", "part_b", *(f"f{i}" for i in range(n_words)), "node", "label"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in whole_groups(batches, 4, 50_000 // n_words):
+            columns = [c.to_numpy().astype(np.int64, copy=False) for c in table.columns]
+            fps, label, band = np.column_stack(columns[4 : 4 + n_words]).view(np.uint64), columns[-1], columns[0]
+            wanted = np.zeros(len(label), dtype=bool)
+            for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                for x, y in near_pairs(fps[lo:hi], label[lo:hi], radius):
+                    for at in range(0, len(x), 65_536):
+                        a, b = x[at : at + 65_536] + lo, y[at : at + 65_536] + lo
+                        differ = np.unpackbits((fps[a] ^ fps[b]).view(np.uint8), axis=1, bitorder="little").view(bool)
+                        first = np.ones(len(a), dtype=bool)
+                        for bits in chosen[: band[lo]]:
+                            first &= differ[:, bits].any(axis=1)
+                        wanted[a[first]] = wanted[b[first]] = True
+            yield pa.RecordBatch.from_arrays([table.column(i).combine_chunks().filter(pa.array(wanted)) for i in range(len(names))], names=names)
+
+    return run
+
+
+def verified_links(fps: np.ndarray, label: np.ndarray, sets: list[np.ndarray], radius: int, similarity: float) -> list[tuple[int, int]]:
+    """Pairs (x, y) of rows within radius whose sets are `similarity` alike, so many that all such pairs are connected; labels are so already.
+
+    A pair is passed over only if its rows are connected, never because another pair failed.
+    """
+    size = np.array([len(h) for h in sets])
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    ends = np.concatenate([[0], np.cumsum(size)])
+    held = np.zeros(len(codes), dtype=bool)
+    forest, first = Forest(len(fps)), {}
+    for i, v in enumerate(label.tolist()):
+        forest.union(i, first.setdefault(v, i))
+    links = []
+    for xs, ys in near_pairs(fps, label, radius):
+        similar_size = np.minimum(size[xs], size[ys]) >= similarity * np.maximum(size[xs], size[ys])
+        xs, ys = xs[similar_size], ys[similar_size]
+        cuts = np.nonzero(np.diff(xs))[0] + 1
+        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(xs)], strict=True):
+            if lo == hi:
+                continue
+            x = int(xs[lo])
+            root = forest.find(x)
+            others = [y for y in ys[lo:hi].tolist() if forest.find(y) != root]
+            if not others:
+                continue
+            held[codes[ends[x] : ends[x + 1]]] = True
+            common = np.array([np.count_nonzero(held[codes[ends[y] : ends[y + 1]]]) for y in others])
+            held[codes[ends[x] : ends[x + 1]]] = False
+            total = size[x] + size[others] - common
+            links += [(x, y) for y, c, t in zip(others, common.tolist(), total.tolist(), strict=True) if (c / t if t else 1.0) >= similarity and forest.union(x, y)]
+    return links
+
+
+def _verify(radius: int, n_words: int, similarity: float):
+    """verified_links of whole groups of rows (four key columns, fingerprint words, node, label, set)."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in whole_groups(batches, 4, VERIFY_ROWS):
+            columns = [c.to_numpy().astype(np.int64, copy=False) for c in table.columns[4:-1]]
+            fps, node, label = np.column_stack(columns[:n_words]).view(np.uint64), columns[-2], columns[-1]
+            sets = table.column(table.num_columns - 1)
+            a, b = [], []
+            for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                own = [x.values.to_numpy() for x in sets.slice(lo, hi - lo)]
+                for x, y in verified_links(fps[lo:hi], label[lo:hi], own, radius, similarity):
+                    a.append(node[lo + x])
+                    b.append(node[lo + y])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
+
+    return run
+
+
+def _chosen(bits: int) -> np.ndarray:
     draw = np.random.default_rng(11)
-    chosen = np.stack([draw.choice(WIDE * BITS, bits, replace=False) for _ in range(KEYS)])
+    return np.stack([draw.choice(WIDE * BITS, bits, replace=False) for _ in range(KEYS)])
+
+
+def _drawn_keys(bits: int):
+    """Rows that begin with a wide fingerprint to KEYS rows each, with the number of a key and the key."""
+    chosen = _chosen(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -325,8 +422,8 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Wide fingerprints find the candidates: texts that agree in any of KEYS keys, each of KEY_BITS drawn bits or
     more for many texts, are compared bit-sliced within a radius that similar texts rarely exceed.
     Each bucket sends out pairs that connect what is near in it, fewer than its rows, and each
-    such pair's shingles are compared exactly. Buckets of different keys connect a group by different
-    pairs, so a pair that fails leaves others.
+    such pair's shingles are compared exactly. Where some fail and leave a group in pieces, all its pairs
+    of candidates between pieces are compared.
 
     Equal wide fingerprints are one class, as are texts without words. Ids are integers; rows of equal ids are one node, rows
     of null ids are left alone with a null component. Other columns are not read.
@@ -366,8 +463,22 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sets = materialize(map_rows(texts, shingles, "id long, h array<long>"))
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("h").alias("ha")), "a").join(sets.select(F.col("id").alias("b"), F.col("h").alias("hb")), "b")
     common = F.size(F.array_intersect("ha", "hb"))
-    links = both.filter(F.coalesce(common / (F.size("ha") + F.size("hb") - common), F.lit(1.0)) >= similarity).select("a", "b")
-    components = connected_components(links)
+    links = materialize(both.filter(F.coalesce(common / (F.size("ha") + F.size("hb") - common), F.lit(1.0)) >= similarity).select("a", "b"))
+
+    # A pair that fails may have stood for others of its bucket. Where candidates hang together that links do not,
+    # every pair within the radius that is still apart is compared too, inside its bucket, so that no list of pairs is sent.
+    hang = connected_components(pairs).select(F.col("node").alias("rep"), F.col("component").alias("hang"))
+    label = connected_components(links).select(F.col("node").alias("rep"), F.col("component").alias("label"))
+    labelled = materialize(hang.join(label, "rep", "left").select("rep", "hang", F.coalesce("label", "rep").alias("label")))
+    split = labelled.groupBy("hang").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("hang")
+    loose = classes.join(labelled.join(split, "hang", "left_semi").select("rep", "label"), "rep").select(*names, "rep", "label")
+    rows = loose.mapInArrow(_drawn_keys(bits), ", ".join(f"{n} long" for n in names) + ", rep long, label long, band int, key long")
+    blocks = in_blocks(rows, ["band", "key"], "rep", VERIFY_ROWS).select(*keys, *names, F.col("rep").alias("node"), "label")
+    form = "band int, key long, part_a int, part_b int, " + ", ".join(f"{n} long" for n in names) + ", node long, label long"
+    apart = blocks.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_apart(_radius_of(similarity), WIDE, _chosen(bits)), form)
+    with_sets = materialize(apart).join(sets.select(F.col("id").alias("node"), "h"), "node").select(*keys, *names, "node", "label", "h")
+    more = with_sets.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_verify(_radius_of(similarity), WIDE, similarity), "a long, b long")
+    components = connected_components(links.unionByName(more))
     named = classes.join(components, classes["rep"] == components["node"], "left").select(*names, F.coalesce("component", "rep").alias("component_id"))
     return prints.join(named, names, "left").select(F.col("id").alias(id_col), F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
 

@@ -106,6 +106,27 @@ def test_similar_texts_against_all_pairs(spark):
     assert found == jaccard_components(table)
 
 
+def variant(rng, words, changes):
+    words = list(words)
+    for at in rng.sample(range(len(words)), changes):
+        words[at] = f"new{rng.random()}"
+    return words
+
+
+def test_true_pairs_among_many_near_misses(spark, monkeypatch):
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(200)]
+    texts = [variant(rng, base, 4) for _ in range(400)]  # about 0.66 alike, mostly within the radius
+    texts += [variant(rng, t, 2) for t in texts[:40]]  # about 0.9 alike
+    rng.shuffle(texts)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    want = jaccard_components(rows)
+    assert len(set(want.values())) <= 400
+    monkeypatch.setattr(simhash, "VERIFY_ROWS", 150, raising=False)
+    got = {r.doc_id: r.component_id for r in similar_components(docs(spark, rows)).collect()}
+    assert [(i, c, got[i]) for i, c in want.items() if got[i] != c] == []
+
+
 def test_hot_buckets_in_blocks_and_longer_keys(spark, monkeypatch):
     rng = random.Random(2)
     base = [rng.getrandbits(64) for _ in range(40)]
