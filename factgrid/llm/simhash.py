@@ -58,8 +58,8 @@ def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
 
 
 def wide_fingerprint(text: str | None, words: int, seed: int) -> list[int]:
-    """WIDE fingerprints of 64 bits, of hashes that are mixed anew from the same XXH64."""
-    h = shingle_hashes(text, words, seed)
+    """WIDE fingerprints of 64 bits of the distinct shingles, of hashes that are mixed anew from the same XXH64."""
+    h = np.unique(shingle_hashes(text, words, seed))
     out = [_majority(h)]
     for j in range(1, WIDE):
         with np.errstate(over="ignore"):  # a finaliser of multiplications and shifts, by Stafford

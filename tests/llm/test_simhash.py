@@ -127,6 +127,15 @@ def test_true_pairs_among_many_near_misses(spark, monkeypatch):
     assert [(i, c, got[i]) for i, c in want.items() if got[i] != c] == []
 
 
+def test_wide_fingerprints_count_a_repeated_shingle_once():
+    distance = lambda a, b: sum((x ^ y).bit_count() for x, y in zip(*(simhash.wide_fingerprint(t, 5, 42) for t in (a, b)), strict=True))
+    far = []
+    for n in range(30):
+        body, sentence = " ".join(f"b{n}x{i}" for i in range(100)), " ".join(f"s{n}x{i}" for i in range(10))
+        far.append(distance(f"{body} {sentence}", f"{body}{f' {sentence}' * 10}"))  # 0.96 alike
+    assert max(far) <= simhash._radius_of(0.8), (min(far), max(far))
+
+
 def test_hot_buckets_in_blocks_and_longer_keys(spark, monkeypatch):
     rng = random.Random(2)
     base = [rng.getrandbits(64) for _ in range(40)]
