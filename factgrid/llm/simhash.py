@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -20,8 +21,10 @@ from .components import connected_components, in_blocks, whole_groups
 BITS = 64
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 ONE = np.uint64(1)
-#: Words of 64 bits of a wide fingerprint; bits of a key that are drawn from it, and keys of a text.
-WIDE, KEY_BITS, KEYS = 4, 14, 48
+#: Words of 64 bits of a wide fingerprint; least bits of a key that are drawn from it.
+WIDE, KEY_BITS = 4, 14
+#: Chance that a pair right at the similarity is no candidate; the number of a text's keys follows from it.
+MISS = 0.01
 #: Rows of a bucket that are compared in one block; larger buckets are dealt into such parts.
 BLOCK_ROWS = 32_768
 #: The same where the texts' shingle sets go along.
@@ -332,23 +335,41 @@ def _verify(radius: int, n_words: int, similarity: float):
     return run
 
 
-def _chosen(bits: int) -> np.ndarray:
+def _miss(similarity: float, bits: int, keys: int) -> float:
+    """Chance that a pair at a Jaccard similarity lies beyond _radius_of it or shares none of `keys` keys of drawn bits."""
+    n, p = WIDE * BITS, _differ(similarity)
+    found = 0.0
+    for d in range(_radius_of(similarity) + 1):
+        found += math.comb(n, d) * p**d * (1 - p) ** (n - d) * (1 - (1 - math.comb(n - d, bits) / math.comb(n, bits)) ** keys)
+    return 1 - found
+
+
+def _keys_for(similarity: float, bits: int) -> int:
+    """The least number of keys with which a pair at the similarity is missed with a chance of MISS."""
+    high = 1
+    while _miss(similarity, bits, high) > MISS:
+        high *= 2
+    return bisect_left(range(high), -MISS, lo=1, key=lambda k: -_miss(similarity, bits, k))
+
+
+def _chosen(bits: int, keys: int) -> np.ndarray:
     draw = np.random.default_rng(11)
-    return np.stack([draw.choice(WIDE * BITS, bits, replace=False) for _ in range(KEYS)])
+    return np.stack([draw.choice(WIDE * BITS, bits, replace=False) for _ in range(keys)])
 
 
-def _drawn_keys(bits: int):
-    """Rows that begin with a wide fingerprint to KEYS rows each, with the number of a key and the key."""
-    chosen = _chosen(bits)
+def _drawn_keys(chosen: np.ndarray):
+    """Rows that begin with a wide fingerprint to one for each row of chosen bits, with the number of a key and the key."""
+    keys, bits = chosen.shape
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
+            step = max(1, 96_000 // keys)
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
                 columns = [c.to_numpy(zero_copy_only=False) for c in part.columns]
                 on = np.unpackbits(np.column_stack(columns[:WIDE]).view(np.uint8), axis=1, bitorder="little")
                 key = on[:, chosen].astype(np.int64) @ (1 << np.arange(bits, dtype=np.int64))
-                arrays = [pa.array(np.repeat(c, KEYS)) for c in columns] + [pa.array(np.tile(np.arange(KEYS, dtype=np.int32), part.num_rows)), pa.array(key.ravel())]
+                arrays = [pa.array(np.repeat(c, keys)) for c in columns] + [pa.array(np.tile(np.arange(keys, dtype=np.int32), part.num_rows)), pa.array(key.ravel())]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*part.schema.names, "band", "key"])
 
     return run
@@ -409,18 +430,22 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return prints.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _differ(similarity: float) -> float:
+    """Chance that a bit differs at a Jaccard similarity."""
+    return math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+
+
 def _radius_of(similarity: float, spread: float = 3.0) -> int:
     """Differing bits of wide fingerprints at a Jaccard similarity, and so many standard deviations more."""
-    n = WIDE * BITS
-    p = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+    n, p = WIDE * BITS, _differ(similarity)
     return math.ceil(n * p + spread * math.sqrt(n * p * (1 - p)))
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, words: int = 5, seed: int = 42) -> DataFrame:
     """Components of texts whose sets of word shingles are `similarity` alike (Jaccard): id_col, component_id.
 
-    Wide fingerprints find the candidates: texts that agree in any of KEYS keys, each of KEY_BITS drawn bits or
-    more for many texts, are compared bit-sliced within a radius that similar texts rarely exceed.
+    Wide fingerprints find the candidates: texts that agree in any of their keys, each of KEY_BITS drawn bits or
+    more for many texts (and then more keys, so that MISS holds at any size), are compared bit-sliced within a radius that similar texts rarely exceed.
     Each bucket sends out pairs that connect what is near in it, fewer than its rows, and each
     such pair's shingles are compared exactly. Where some fail and leave a group in pieces, all its pairs
     of candidates between pieces are compared.
@@ -442,8 +467,9 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     prints = materialize(map_rows(frame, start, "id long, " + ", ".join(f"{n} long" for n in names)))
     classes = materialize(prints.filter("id IS NOT NULL").groupBy(*names).agg(F.min("id").alias("rep")))
     bits = KEY_BITS + max(0, (classes.count() // (2048 << KEY_BITS)).bit_length())
+    chosen = _chosen(bits, _keys_for(similarity, bits))
     keys = ["band", "key", "part_a", "part_b"]
-    rows = classes.mapInArrow(_drawn_keys(bits), ", ".join(f"{n} long" for n in names) + ", rep long, band int, key long")
+    rows = classes.mapInArrow(_drawn_keys(chosen), ", ".join(f"{n} long" for n in names) + ", rep long, band int, key long")
     # Another order in each band, so that a group is connected by other pairs there.
     blocks = in_blocks(rows, ["band", "key"], "rep", BLOCK_ROWS).withColumn("order", F.xxhash64("band", "rep"))
     sorted_blocks = blocks.select(*keys, *names, "rep", "order").repartition(*keys).sortWithinPartitions(*keys, "order").drop("order")
@@ -472,10 +498,10 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     labelled = materialize(hang.join(label, "rep", "left").select("rep", "hang", F.coalesce("label", "rep").alias("label")))
     split = labelled.groupBy("hang").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("hang")
     loose = classes.join(labelled.join(split, "hang", "left_semi").select("rep", "label"), "rep").select(*names, "rep", "label")
-    rows = loose.mapInArrow(_drawn_keys(bits), ", ".join(f"{n} long" for n in names) + ", rep long, label long, band int, key long")
+    rows = loose.mapInArrow(_drawn_keys(chosen), ", ".join(f"{n} long" for n in names) + ", rep long, label long, band int, key long")
     blocks = in_blocks(rows, ["band", "key"], "rep", VERIFY_ROWS).select(*keys, *names, F.col("rep").alias("node"), "label")
     form = "band int, key long, part_a int, part_b int, " + ", ".join(f"{n} long" for n in names) + ", node long, label long"
-    apart = blocks.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_apart(_radius_of(similarity), WIDE, _chosen(bits)), form)
+    apart = blocks.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_apart(_radius_of(similarity), WIDE, chosen), form)
     with_sets = materialize(apart).join(sets.select(F.col("id").alias("node"), "h"), "node").select(*keys, *names, "node", "label", "h")
     more = with_sets.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_verify(_radius_of(similarity), WIDE, similarity), "a long, b long")
     components = connected_components(links.unionByName(more))

@@ -136,6 +136,19 @@ def test_wide_fingerprints_count_a_repeated_shingle_once():
     assert max(far) <= simhash._radius_of(0.8), (min(far), max(far))
 
 
+def test_longer_keys_find_as_many_pairs():
+    rng = np.random.default_rng(3)
+    for bits in (14, 16, 19, 24):
+        keys = simhash._keys_for(0.8, bits)
+        assert simhash._miss(0.8, bits, keys) <= simhash.MISS < simhash._miss(0.8, bits, keys - 1)
+        differ = rng.random((3000, 256)) < simhash._differ(0.8)
+        shared = np.zeros(len(differ), dtype=bool)
+        for drawn in simhash._chosen(bits, keys):
+            shared |= ~differ[:, drawn].any(axis=1)
+        found = shared & (differ.sum(axis=1) <= simhash._radius_of(0.8))
+        assert found.mean() > 0.98
+
+
 def test_hot_buckets_in_blocks_and_longer_keys(spark, monkeypatch):
     rng = random.Random(2)
     base = [rng.getrandbits(64) for _ in range(40)]
