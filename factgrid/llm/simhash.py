@@ -62,7 +62,10 @@ def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
 
 def wide_fingerprint(text: str | None, words: int, seed: int) -> list[int]:
     """WIDE fingerprints of 64 bits of the distinct shingles, of hashes that are mixed anew from the same XXH64."""
-    h = np.unique(shingle_hashes(text, words, seed))
+    return _wide(np.unique(shingle_hashes(text, words, seed)))
+
+
+def _wide(h: np.ndarray) -> list[int]:
     out = [_majority(h)]
     for j in range(1, WIDE):
         with np.errstate(over="ignore"):  # a finaliser of multiplications and shifts, by Stafford
@@ -450,26 +453,28 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     such pair's shingles are compared exactly. Where some fail and leave a group in pieces, all its pairs
     of candidates between pieces are compared.
 
-    Equal wide fingerprints are one class, as are texts without words. Ids are integers; rows of equal ids are one node, rows
+    Texts of one shingle set (by a hash of 128 bits) are one class, as are texts without words. Ids are integers; rows of equal ids are one node, rows
     of null ids are left alone with a null component. Other columns are not read.
     """
     ship_package(docs.sparkSession)
-    names = [f"f{i}" for i in range(WIDE)]
+    names, same = [f"f{i}" for i in range(WIDE)], ["s0", "s1"]
 
     def start():
         def step(rows: dict) -> dict:
-            prints = [[x - (1 << 64) if x >> 63 else x for x in wide_fingerprint(t, words, seed)] for t in rows["t"]]
-            return {"id": rows["i"]} | {n: [p[k] for p in prints] for k, n in enumerate(names)}
+            hashes = [np.unique(shingle_hashes(t, words, seed)) for t in rows["t"]]
+            prints = [[x - (1 << 64) if x >> 63 else x for x in _wide(h)] for h in hashes]
+            of_set = [np.frombuffer(xxhash.xxh3_128_digest(h.tobytes()), dtype="<i8").tolist() for h in hashes]
+            return {"id": rows["i"]} | {n: [p[k] for p in prints] for k, n in enumerate(names)} | {n: [d[k] for d in of_set] for k, n in enumerate(same)}
 
         return step
 
     frame = docs.select(docs[id_col].cast("long").alias("i"), docs[text_col].alias("t"))
-    prints = materialize(map_rows(frame, start, "id long, " + ", ".join(f"{n} long" for n in names)))
-    classes = materialize(prints.filter("id IS NOT NULL").groupBy(*names).agg(F.min("id").alias("rep")))
+    prints = materialize(map_rows(frame, start, "id long, " + ", ".join(f"{n} long" for n in names + same)))
+    classes = materialize(prints.filter("id IS NOT NULL").groupBy(*names, *same).agg(F.min("id").alias("rep")))
     bits = KEY_BITS + max(0, (classes.count() // (2048 << KEY_BITS)).bit_length())
     chosen = _chosen(bits, _keys_for(similarity, bits))
     keys = ["band", "key", "part_a", "part_b"]
-    rows = classes.mapInArrow(_drawn_keys(chosen), ", ".join(f"{n} long" for n in names) + ", rep long, band int, key long")
+    rows = classes.select(*names, "rep").mapInArrow(_drawn_keys(chosen), ", ".join(f"{n} long" for n in names) + ", rep long, band int, key long")
     # Another order in each band, so that a group is connected by other pairs there.
     blocks = in_blocks(rows, ["band", "key"], "rep", BLOCK_ROWS).withColumn("order", F.xxhash64("band", "rep"))
     sorted_blocks = blocks.select(*keys, *names, "rep", "order").repartition(*keys).sortWithinPartitions(*keys, "order").drop("order")
@@ -505,8 +510,8 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     with_sets = materialize(apart).join(sets.select(F.col("id").alias("node"), "h"), "node").select(*keys, *names, "node", "label", "h")
     more = with_sets.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_verify(_radius_of(similarity), WIDE, similarity), "a long, b long")
     components = connected_components(links.unionByName(more))
-    named = classes.join(components, classes["rep"] == components["node"], "left").select(*names, F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(named, names, "left").select(F.col("id").alias(id_col), F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
+    named = classes.join(components, classes["rep"] == components["node"], "left").select(*same, F.coalesce("component", "rep").alias("component_id"))
+    return prints.join(named, same, "left").select(F.col("id").alias(id_col), F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:

@@ -149,6 +149,11 @@ def test_longer_keys_find_as_many_pairs():
         assert found.mean() > 0.98
 
 
+def test_a_shingle_that_prevails_does_not_unite(spark):
+    rows = [(i, "ha " * 10 + " ".join(f"w{i}x{k}" for k in range(4))) for i in range(3)] + [(3, "ha " * 11 + " ".join(f"w0x{k}" for k in range(4)))]
+    assert {r.doc_id: r.component_id for r in similar_components(docs(spark, rows)).collect()} == {0: 0, 1: 1, 2: 2, 3: 0}
+
+
 def test_hot_buckets_in_blocks_and_longer_keys(spark, monkeypatch):
     rng = random.Random(2)
     base = [rng.getrandbits(64) for _ in range(40)]
