@@ -15,11 +15,12 @@ HIT = 0.85
 PART_ROWS = 50_000
 
 
-def nearest(probes: DataFrame, cache: DataFrame, batch_rows: int = 4096) -> DataFrame:
+def nearest(probes: DataFrame, cache: DataFrame, batch_rows: int = 4096, own: bool = True) -> DataFrame:
     """probe_id, best_id, similarity (6 places): the nearest cached vector by exact cosine, the lowest id on ties.
 
     probes: probe_id, embedding. Probes are the stated query set: they are grouped into batches, each batch meets each
-    part of the cache once, and one row for each probe and part goes on. No vector is
+    part of the cache once, and one row for each probe and part goes on. With own False, a
+    probe passes over the cached row of its own id. No vector is
     collected on the driver, and neither side is broadcast whole.
     """
     ship_package(probes.sparkSession)
@@ -41,6 +42,8 @@ def nearest(probes: DataFrame, cache: DataFrame, batch_rows: int = 4096) -> Data
         best, score = np.full(len(a), -1), np.full(len(a), -2.0)
         for at in range(0, len(b), 8192):
             s = np.round((x[a] @ x[b[at : at + 8192]].T) / np.outer(norm[a], norm[b[at : at + 8192]]), 12)
+            if not own:
+                s[ids[a][:, None] == ids[b[at : at + 8192]]] = -2.0
             top = s.argmax(axis=1)
             better = s[np.arange(len(a)), top] > score
             score[better] = s[np.arange(len(a)), top][better]
@@ -53,9 +56,9 @@ def nearest(probes: DataFrame, cache: DataFrame, batch_rows: int = 4096) -> Data
     return found.groupBy("probe_id").agg(best).select("probe_id", "b.best_id", F.round("b.similarity", 6).alias("similarity"))
 
 
-def cache_hits(probes: DataFrame, cache: DataFrame, threshold: float = HIT) -> DataFrame:
+def cache_hits(probes: DataFrame, cache: DataFrame, threshold: float = HIT, own: bool = True) -> DataFrame:
     """Nearest with hit: similarity of at least threshold, which itself counts."""
-    return nearest(probes, cache).withColumn("hit", F.col("similarity") >= threshold)
+    return nearest(probes, cache, own=own).withColumn("hit", F.col("similarity") >= threshold)
 
 
 def cache_list(cache: DataFrame) -> DataFrame:

@@ -314,3 +314,13 @@ def test_topics_to_tables_with_stand_ins(spark):
     shown = {(r.name, r.field): (r.value, r.agreement_count, r.cell_confidence) for r in done.tables.long().collect()}
     assert shown == {(n, f): (v, 1, 0.7) for n, c in things for f, v in (("cuisine", c), ("phone", "1"))}
     assert done.unavailable().count() == 0
+
+
+def test_copies_among_probes_are_found(spark, tmp_path):
+    from factgrid.queries import QUERIES
+
+    rows = [(50, [1.0, 0.0]), (100, [0.0, 1.0]), (150, [0.0, 1.0]), (7, [1.0, 1.0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.probe_id: r.best_id for r in QUERIES["knn_top1"](spark, str(tmp_path)).collect()}
+    assert got == {50: 7, 100: 150, 150: 100}
+    assert QUERIES["cache_misses"](spark, str(tmp_path)).filter("hit").first().n == 2
