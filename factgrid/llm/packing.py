@@ -38,8 +38,8 @@ def tokenizer_of(model: str) -> ChunkTokenizer:
 class ChunkTokenizer:
     """Ids of texts by a tokenizer that drops white space, from ids of the chunks between white space.
 
-    A chunk of letters with punctuation behind is two words to the tokenizer. New words
-    of letters are encoded together, and told apart by the tokens that end a word.
+    A chunk whose normal form is letters with punctuation behind is two words to the tokenizer. New words
+    of letters are encoded together, and told apart by the tokens that end a word. All other chunks are encoded as they are.
     """
 
     def __init__(self, model: str):
@@ -47,6 +47,7 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(model)
+        self.normal = self.tokenizer.normalizer.normalize_str if self.tokenizer.normalizer else str
         self.ids: dict[str, bytes] = {}
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
         for token, i in self.tokenizer.get_vocab().items():
@@ -63,7 +64,7 @@ class ChunkTokenizer:
         cased, ended, new = [], [], {}
         for chunk in chunks:
             word = chunk if chunk.isalpha() else chunk.rstrip(PUNCTUATION)
-            if not word.isalpha():
+            if not word.isalpha() or not (word.isascii() or self.normal(word).isalpha()):  # a normal form may end in marks
                 self._one(chunk)
                 continue
             lower = word.lower() if word.isascii() else word
@@ -83,7 +84,7 @@ class ChunkTokenizer:
                 if len(ends) == len(group):
                     raw, cuts = ids.tobytes(), [0, *ends.tolist()]
                     known.update(zip(group, [raw[i:j] for i, j in zip(cuts, cuts[1:], strict=False)], strict=True))
-                else:  # letters that the tokenizer's normal form takes apart
+                else:  # letters that the tokenizer's pattern doesn't know as such
                     for word in group:
                         self._one(word)
         for chunk, lower in cased:

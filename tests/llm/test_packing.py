@@ -45,6 +45,16 @@ def test_chunks_give_the_ids_of_the_whole_text():
         assert np.frombuffer(raw, dtype="<u4").tolist() == ids(t), repr(t)
 
 
+def test_every_letter_before_punctuation_and_random_mixes():
+    letters = [c for c in map(chr, range(0x110000)) if c.isalpha()]
+    rng = random.Random(2)
+    pool = letters[::7] + list("abcABC,.!?'’-–#<>|़̇  \n\t") * 300
+    texts = ["GAZİ, Lİ.", *(f"a{c}, {c}. x{c}{c}!" for c in letters), *("".join(rng.choice(pool) for _ in range(rng.randint(0, 40))) for _ in range(3000))]
+    got = ChunkTokenizer(open(PATH, encoding="utf-8").read()).encode(texts, 0)
+    for t, raw, found in zip(texts, got, LIBRARY.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(raw, dtype="<u4").tolist() == [*found.ids, 0], repr(t)
+
+
 def verify(spark_rows, texts, capacity):
     of_doc, of_sequence = defaultdict(list), defaultdict(list)
     for r in spark_rows:
