@@ -16,6 +16,10 @@ MAX_PIECES = 1_000_000
 #: Fixed value: what the unknown piece scores below the worst piece.
 UNKNOWN_PENALTY = 10.0
 SPACE = "▁"
+#: Prefixes of so many characters are shared in the trie; what a pre-token has beyond is worked out in a window of its own.
+DEPTH = 64
+#: Forward scores of a long pre-token that are held at once.
+HELD = 65_536
 
 
 class Pieces:
@@ -54,6 +58,7 @@ class Pieces:
         if any(re.search("[^ ] ", p) for p in self.score):
             raise ValueError("pieces that go on behind a space have no pre-tokens")
         alone = not any("\n" in p and len(p) > 1 for p in self.score)
+        self.longest = max(map(len, self.score), default=1)
         self.pretoken = re.compile(r" +[^ \n]*|[^ \n]+|\n" if alone else r" +[^ ]*|[^ ]+")
 
 
@@ -72,35 +77,39 @@ def trie_of(pieces: Pieces, max_nodes: int) -> Trie:
 class Trie:
     """Best forward score of every prefix, and its number of tokens, worked out once per node.
 
-    A node is a prefix of pre-tokens; score[node] is the best sum of piece scores that covers it,
+    A node is a prefix of pre-tokens, of DEPTH characters at most; score[node] is the best sum of piece scores that covers it,
     tokens[node] the fewest tokens among the segmentations of that score. `terminal` holds
-    the counts of whole pre-tokens.
+    the counts of whole pre-tokens. There are never more than max_nodes nodes, or those of one pre-token.
     """
 
     def __init__(self, pieces: Pieces, max_nodes: int):
         self.pieces, self.max_nodes = pieces, max_nodes
+        self.terminal: dict[str, int] = {}
         self.clear()
 
     def clear(self) -> None:
         self.child: dict[int, int] = {}  # of a node and a character, as one number
         self.score, self.tokens = [0.0], [0]
-        self.terminal: dict[str, int] = {}
+        self.full = False
 
     def insert(self, words: Iterable[str]) -> None:
         """Adds words in order, so that the path of what a word shares with the one before is walked once."""
-        known, lengths, unknown = self.pieces.score, self.pieces.lengths, self.pieces.unknown
-        child, score, tokens = self.child, self.score, self.tokens
-        path, last = [0], ""
+        known, lengths, unknown, longest = self.pieces.score, self.pieces.lengths, self.pieces.unknown, self.pieces.longest
+        path, scores, counts, last = [0], [0.0], [0], ""  # of the prefixes of the last word: nodes, and what they hold
         for word in sorted(words):
-            shared, most = 0, min(len(word), len(last))
+            if len(self.score) + min(len(word), DEPTH) > self.max_nodes:
+                self.clear()
+                self.full, path, scores, counts, last = True, [0], [0.0], [0], ""
+            child, score, tokens = self.child, self.score, self.tokens
+            shared, most = 0, min(len(word), len(last), DEPTH)
             while shared < most and word[shared] == last[shared]:
                 shared += 1
-            del path[shared + 1 :]
-            node, last = path[shared], word
+            del path[shared + 1 :], scores[shared + 1 :], counts[shared + 1 :]
+            node, last, base = path[shared], word, 0
             for depth in range(shared + 1, len(word) + 1):
                 c = word[depth - 1]
                 edge = node << 21 | ord(c)
-                nxt = child.get(edge)
+                nxt = child.get(edge) if depth <= DEPTH else None
                 if nxt is None:
                     best, fewest = None, 0
                     for n in lengths.get(c, ()):
@@ -108,29 +117,46 @@ class Trie:
                             break
                         s = known.get(word[depth - n : depth])
                         if s is not None:
-                            at = path[depth - n]
-                            s, k = s + score[at], tokens[at] + 1
+                            s, k = s + scores[depth - n - base], counts[depth - n - base] + 1
                             if best is None or s > best or (s == best and k < fewest):
                                 best, fewest = s, k
                     if c not in known:
-                        s, k = score[node] + unknown, tokens[node] + (len(c.encode("utf-8", "surrogatepass")) if self.pieces.byte_fallback else 1)
+                        s, k = scores[-1] + unknown, counts[-1] + (len(c.encode("utf-8", "surrogatepass")) if self.pieces.byte_fallback else 1)
                         if best is None or s > best or (s == best and k < fewest):
                             best, fewest = s, k
-                    nxt = child[edge] = len(score)
-                    score.append(best)
-                    tokens.append(fewest)
-                node = nxt
-                path.append(node)
-            self.terminal[word] = tokens[node]
+                    if depth <= DEPTH:
+                        nxt = child[edge] = len(score)
+                        score.append(best)
+                        tokens.append(fewest)
+                else:
+                    best, fewest = score[nxt], tokens[nxt]
+                scores.append(best)
+                counts.append(fewest)
+                if depth <= DEPTH:
+                    node = nxt
+                    path.append(node)
+                elif len(scores) > HELD:
+                    gone = len(scores) - longest
+                    del scores[:gone], counts[:gone]
+                    base += gone
+            self.terminal[word] = counts[-1]
+            if base:
+                path, scores, counts, last = [0], [0.0], [0], ""
 
     def count(self, texts: list[str | None]) -> list[tuple[int, int]]:
         """(tokens, pre-tokens) of each text, with the model's space in front unless it is empty."""
-        if len(self.score) > self.max_nodes:
-            self.clear()
+        if self.full:
+            self.terminal.clear()
+            self.full = False
         split = [self.pieces.pretoken.findall(" " + t) if t else [] for t in texts]
-        self.insert(set().union(*split).difference(self.terminal))
+        fresh = set().union(*split).difference(self.terminal)
+        self.insert(fresh)
         get = self.terminal.__getitem__
-        return [(sum(map(get, words)), len(words)) for words in split]
+        found = [(sum(map(get, words)), len(words)) for words in split]
+        for word in fresh:
+            if len(word) > DEPTH:
+                del self.terminal[word]
+        return found
 
 
 def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", max_nodes: int = 1_200_000) -> DataFrame:
@@ -139,7 +165,8 @@ def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     The model is the unigram one over the pieces of a sentencepiece file: a text's segmentation
     has the greatest sum of log-probabilities, and among equal sums the fewest tokens.
     Characters without a piece count as their UTF-8 bytes. Each worker process keeps a trie of the
-    pre-tokens it has met; beyond max_nodes it starts anew, which changes no count. No shuffle.
+    pre-tokens it has met; beyond max_nodes it starts anew, which changes no count. What a pre-token has beyond DEPTH characters is
+    worked out in a window that is not stored, so memory is bounded for texts without white space, too. No shuffle.
 
     Null and empty texts: 0 and 0. Rows with equal or null ids are counted one by one.
     Other columns are neither read nor returned. An empty table gives an empty one.
@@ -166,10 +193,9 @@ def brute_force_count(pieces: Pieces, text: str | None) -> int:
         return 0
     text = " " + text
     best: list[tuple[float, int]] = [(0.0, 0)]
-    longest = max(map(len, pieces.score), default=1)
 
     def options(end: int) -> Iterator[tuple[float, int]]:
-        for start in range(max(0, end - longest), end):
+        for start in range(max(0, end - pieces.longest), end):
             s = pieces.score.get(text[start:end])
             if s is not None:
                 yield best[start][0] + s, -(best[start][1] + 1)

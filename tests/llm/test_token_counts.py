@@ -1,3 +1,6 @@
+import random
+import tracemalloc
+
 import public_tokenizers as P
 import pytest
 import sentencepiece as spm
@@ -5,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer, models
 
+from factgrid.llm import token_counts as token_counts_module
 from factgrid.llm.token_counts import Pieces, Trie, brute_force_count, token_counts
 from tests.llm.helpers import ODD, SF, docs
 
@@ -35,11 +39,28 @@ def test_counts_are_near_those_of_the_files_own_mode():
         assert abs(Trie(PIECES, 1000).count([t])[0][0] - len(sp.encode(t))) <= 2
 
 
+def test_long_words_and_bounded_memory(monkeypatch):
+    monkeypatch.setattr(token_counts_module, "HELD", 100)
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("的一是thean ß" if k % 2 else "的一是thean") for _ in range(rng.randint(1, 900))) for k in range(60)]
+    texts += [texts[0] + "x", texts[0][:70], texts[0] * 2]
+    trie = Trie(PIECES, 300)
+    assert [n for n, _ in trie.count(texts)] == [brute_force_count(PIECES, t) for t in texts]
+    assert len(trie.score) <= 300 and all(len(w) <= token_counts_module.DEPTH for w in trie.terminal)
+    monkeypatch.undo()
+    trie = Trie(PIECES, 1_200_000)
+    rows = ["".join(map(chr, rng.choices(range(0x4E00, 0x9000), k=20_000))) for _ in range(20)]
+    tracemalloc.start()
+    trie.count(rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30_000_000 and len(trie.score) <= 20 * (token_counts_module.DEPTH + 1) + 1
+
+
 def test_query_on_whole_table_and_odd_rows(spark):
-    d = spark.read.parquet(f"{SF}/documents.parquet").limit(20)
+    d = spark.read.parquet(f"{SF}/documents.parquet")
     got = {r.doc_id: r.n_tokens for r in token_counts(d, MODEL).collect()}
-    want = {r.doc_id: brute_force_count(PIECES, r.text[:400]) for r in d.collect() if len(r.text) <= 400}
-    assert all(got[i] == n for i, n in want.items()) and len(got) == 20
+    assert got == {r.doc_id: brute_force_count(PIECES, r.text) for r in d.collect()}
     rows = token_counts(docs(spark, ODD), MODEL, max_nodes=100).collect()
     assert len(rows) == len(ODD)
     assert {r.doc_id: r.n_tokens for r in rows if r.doc_id in (1, 2)} == {1: 0, 2: 0}
