@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
+import os
+import tempfile
 from collections.abc import Callable
 
 import duckdb
@@ -17,25 +18,36 @@ from .common import map_rows
 
 #: A vocabulary is sent to every executor; larger ones are refused.
 MAX_RANKS = 1_000_000
-#: Words of more bytes are contracted with a heap: the recursion takes a round for each merge.
-LONG_WORD = 256
-#: Words that go through one recursive query, and words that a worker process remembers.
-QUERY_WORDS, CACHED_WORDS = 50_000, 900_000
-
-#: A word's place and a rank share a number, places being below 512: the least is the leftmost pair of least rank.
+#: Words and bytes that go through one recursive query, and words that a worker process remembers.
+QUERY_WORDS, QUERY_BYTES, CACHED_WORDS = 50_000, 1_000_000, 900_000
+
+#: Token-position rows of many words, one behind the other; `cut`: nothing merges across the end of this token.
+#: That is so at a word's end, and where no token holds this one and the next side by side: there, a word falls into segments that
+#: don't touch each other again, so every segment contracts its own pairs of least rank in a round.
+#: Of these, overlapping ones count from the left; and none counts behind one whose product has a lower rank with
+#: its neighbours, which would come first. So the result is that of one leftmost pair of least rank after the other.
 ENCODE = """
-WITH RECURSIVE tokens(w, pos, id, fixed) AS (
-  SELECT w, pos, byte_ids.id, false FROM bytes_of_words JOIN byte_ids USING (byte)
+WITH RECURSIVE tokens(pos, id, cut, fixed) AS (
+  SELECT pos, byte_ids.id, cut, false FROM bytes_of_words JOIN byte_ids USING (byte)
   UNION ALL
-  (WITH pairs AS (
-     SELECT w, pos, id, CASE WHEN lead(w) OVER word = w THEN lead(id) OVER word END AS next_id, CASE WHEN lag(w) OVER word = w THEN lag(pos) OVER word END AS last_pos
-     FROM tokens WHERE NOT fixed WINDOW word AS (ORDER BY CAST(w AS BIGINT) * 512 + pos)),
-   ranked AS (SELECT p.w, p.pos, p.id, p.last_pos, m.rank FROM pairs p LEFT JOIN merges m ON m.l = p.id AND m.r = p.next_id),
-   best AS (SELECT w, min(CAST(rank AS BIGINT) * 512 + pos) AS first FROM ranked GROUP BY w)
-   SELECT r.w, r.pos, CASE WHEN r.pos = b.first % 512 THEN CAST(b.first // 512 AS INTEGER) ELSE r.id END, b.first IS NULL
-   FROM ranked r JOIN best b USING (w)
-   WHERE b.first IS NULL OR r.last_pos IS NULL OR r.last_pos <> b.first % 512))
-SELECT w, pos, id FROM tokens WHERE fixed
+  (WITH beside AS (
+     SELECT pos, id, cut, lag(id) OVER place AS back_id, lead(id) OVER place AS next_id, lead(id, 2) OVER place AS ahead_id, lead(cut) OVER place AS next_cut,
+            row_number() OVER place AS n, coalesce(sum(CAST(cut AS INTEGER)) OVER (place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS segment
+     FROM tokens WHERE NOT fixed WINDOW place AS (ORDER BY pos)),
+   ranked AS (SELECT b.*, m.rank, m.l IS NULL AS apart FROM beside b LEFT JOIN pairs m ON m.l = CASE WHEN NOT b.cut THEN b.id END AND m.r = b.next_id),
+   best AS (SELECT segment, min(rank) AS rank FROM ranked GROUP BY segment),
+   least AS (SELECT r.n, segment, r.rank, r.back_id, r.ahead_id, r.n - row_number() OVER (ORDER BY r.n) AS run FROM ranked r JOIN best b USING (segment) WHERE r.rank = b.rank),
+   in_run AS (SELECT *, n - min(n) OVER (PARTITION BY run) AS nth FROM least),
+   picked AS (SELECT * FROM in_run WHERE nth % 2 = 0),
+   stops AS (
+     SELECT segment, min(n) AS n FROM picked
+     WHERE EXISTS (FROM lower_back l WHERE l.id = picked.rank AND l.other = CASE WHEN nth > 0 THEN picked.rank ELSE back_id END)
+        OR EXISTS (FROM lower_ahead l WHERE l.id = picked.rank AND l.other = ahead_id)
+     GROUP BY segment),
+   taken AS (SELECT p.n, p.rank FROM picked p LEFT JOIN stops s USING (segment) WHERE p.n <= coalesce(s.n, p.n))
+   SELECT r.pos, coalesce(t.rank, r.id), CASE WHEN t.n IS NULL THEN r.apart ELSE r.next_cut END, b.rank IS NULL
+   FROM ranked r JOIN best b USING (segment) LEFT JOIN taken t USING (n) WHERE NOT EXISTS (FROM taken WHERE taken.n + 1 = r.n)))
+SELECT pos, id FROM tokens WHERE fixed ORDER BY pos
 """
 
 DECODE = """
@@ -45,7 +57,7 @@ FROM word_tokens JOIN vocabulary USING (id) GROUP BY w
 
 
 class Ranks:
-    """A rank file, and every pair of tokens whose bytes together are a token."""
+    """A rank file, and every pair of tokens that stand side by side in a token, with the rank of the token that they are, if any."""
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
@@ -54,9 +66,50 @@ class Ranks:
         if len(self.id_of) > MAX_RANKS:
             raise ValueError(f"{len(self.id_of)} ranks; at most {MAX_RANKS} are sent to executors")
         known = self.id_of.get
-        pairs = [(known(t[:i]), known(t[i:]), n) for t, n in self.id_of.items() for i in range(1, len(t))]
-        l, r, rank = zip(*[p for p in pairs if p[0] is not None and p[1] is not None], strict=True)
-        self.merges = pa.table({"l": pa.array(l, pa.int32()), "r": pa.array(r, pa.int32()), "rank": pa.array(rank, pa.int32())})
+        rank: dict[tuple[int, int], int | None] = {}
+        for token in self.id_of:
+            for i in range(1, len(token)):
+                left = [n for a in range(i) if (n := known(token[a:i])) is not None]
+                right = [n for b in range(i + 1, len(token) + 1) if (n := known(token[i:b])) is not None]
+                rank |= dict.fromkeys(((x, y) for x in left for y in right), None)
+        for token, n in self.id_of.items():
+            for i in range(1, len(token)):
+                pair = known(token[:i]), known(token[i:])
+                if None not in pair:
+                    rank[pair] = n
+        self.pairs = pa.table({"l": pa.array([x for x, _ in rank], pa.int32()), "r": pa.array([y for _, y in rank], pa.int32()), "rank": pa.array(rank.values(), pa.int32())})
+        #: A bit for each three bytes: whether a token holds them; and the pairs of bytes that are tokens.
+        held = {int.from_bytes(t[i : i + 3], "big") for t in self.id_of for i in range(len(t) - 2)}
+        bits = np.zeros(1 << 24, dtype=bool)
+        bits[list(held)] = True
+        self.three = np.packbits(bits, bitorder="little")
+        self.two = np.zeros(1 << 16, dtype=bool)
+        self.two[[int.from_bytes(t, "big") for t in self.id_of if len(t) == 2]] = True
+        # Tokens that are one of a pair of lower rank than their own: (id, other) with the other in front, or behind.
+        self.lower_back = _pairs_of([(y, x) for (x, y), n in rank.items() if n is not None and n < y])
+        self.lower_ahead = _pairs_of([(x, y) for (x, y), n in rank.items() if n is not None and n < x])
+
+
+def cuts(data: np.ndarray, ends: np.ndarray, ranks: Ranks) -> np.ndarray:
+    """Where segments of words end: at the words' own ends, and between bytes that no token holds side by side with those around them."""
+    n = len(data)
+    cut = np.zeros(n, dtype=bool)
+    if n > 1:
+        x = data.astype(np.int64)
+        pair = x[:-1] << 8 | x[1:]
+        alive = ranks.two[pair]
+        if n > 2:
+            three = pair[:-1] << 8 | x[2:]
+            held = (ranks.three[three >> 3] >> (three & 7).astype(np.uint8) & 1).astype(bool)
+            alive[:-1] |= held
+            alive[1:] |= held
+        cut[:-1] = ~alive
+    cut[ends - 1] = True
+    return cut
+
+
+def _pairs_of(rows: list[tuple[int, int]]) -> pa.Table:
+    return pa.table({"id": pa.array([x for x, _ in rows], pa.int32()), "other": pa.array([y for _, y in rows], pa.int32())})
 
 
 _LAST: dict[tuple[str, str], Encoder] = {}
@@ -75,63 +128,55 @@ class Encoder:
     """A worker process's DuckDB connection, and the words that it has encoded."""
 
     def __init__(self, ranks: Ranks, pattern: str):
-        self.id_of, self.bytes_of = ranks.id_of, {n: t for t, n in ranks.id_of.items()}
+        self.ranks, self.id_of, self.bytes_of = ranks, ranks.id_of, {n: t for t, n in ranks.id_of.items()}
         # White space is the Unicode property, as in the library's regular expressions.
         self.find = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
         self.words: dict[str, tuple[int, str, bytes]] = {}
-        self.pair_rank = {(a, b): n for a, b, n in zip(*(c.to_pylist() for c in ranks.merges.columns), strict=True)}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
-        merges = ranks.merges
+        # Spills, which a very long word may need, are the worker's own and go with it.
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": f"{tempfile.gettempdir()}/factgrid-bpe-{os.getpid()}"})
         vocabulary = pa.table({"id": pa.array(self.bytes_of, pa.int32()), "hex": [t.hex() for t in self.bytes_of.values()]})
         single = [(b, self.id_of[bytes([b])]) for b in range(256) if bytes([b]) in self.id_of]
         byte_ids = pa.table({"byte": pa.array([b for b, _ in single], pa.uint8()), "id": pa.array([n for _, n in single], pa.int32())})
-        for name, source in (("merges", merges), ("vocabulary", vocabulary), ("byte_ids", byte_ids)):
-            self.db.register("source", source)
+        for name in ("pairs", "lower_back", "lower_ahead", "vocabulary", "byte_ids"):
+            self.db.register("source", {"vocabulary": vocabulary, "byte_ids": byte_ids}.get(name) or getattr(ranks, name))
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM source")
             self.db.unregister("source")
 
     def learn(self, words: list[str]) -> None:
         coded = [w.encode("utf-8", "surrogatepass") for w in words]
         whole = [self.id_of.get(b) for b in coded]
-        long = [i for i, b in enumerate(coded) if whole[i] is None and len(b) > LONG_WORD]
-        for i in long:
-            ids = self._by_heap(coded[i])
-            self.words[words[i]] = len(ids), ",".join(map(str, ids)), b"".join(map(self.bytes_of.__getitem__, ids))
-        rest = [i for i, b in enumerate(coded) if whole[i] is None and len(b) <= LONG_WORD]
-        lengths = np.array([len(coded[i]) for i in rest], dtype=np.int64)
-        w = np.repeat(np.array(rest, dtype=np.int32), lengths)
-        pos = np.arange(len(w)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        data = np.frombuffer(b"".join(coded[i] for i in rest), dtype=np.uint8)
-        self.db.register("bytes_of_words", pa.table({"w": w, "pos": pos.astype(np.int32), "byte": data}))
-        found = self.db.sql(ENCODE).to_arrow_table() if rest else pa.table({"w": pa.array([], pa.int32()), "pos": pa.array([], pa.int32()), "id": pa.array([], pa.int32())})
         # A word that is a token itself is that token, whatever its merges come to.
+        rest = [i for i, n in enumerate(whole) if n is None]
         single = [i for i, n in enumerate(whole) if n is not None]
-        ones = pa.table({"w": pa.array(single, pa.int32()), "pos": pa.array([0] * len(single), pa.int32()), "id": pa.array([whole[i] for i in single], pa.int32())})
-        self.db.register("word_tokens", pa.concat_tables([found.cast(ones.schema), ones]))
+        w, ids = np.array(single, dtype=np.int32), np.array([whole[i] for i in single], dtype=np.int32)
+        pos = np.zeros(len(w), dtype=np.int64)
+        if rest:
+            ends = np.cumsum([len(coded[i]) for i in rest])
+            data = np.frombuffer(b"".join(coded[i] for i in rest), dtype=np.uint8)
+            # Segments that words share are contracted once.
+            stops = np.nonzero(cuts(data, ends, self.ranks))[0] + 1
+            raw, bounds = data.tobytes(), [0, *stops.tolist()]
+            segments: dict[bytes, int] = {}
+            of_segment = np.array([segments.setdefault(raw[a:b], len(segments)) for a, b in zip(bounds, bounds[1:], strict=False)])
+            found, starts = self._contract(list(segments))
+            each = np.diff(starts)[of_segment]
+            token = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + np.repeat(starts[of_segment], each)
+            of_word = np.repeat(np.array(rest, dtype=np.int32)[np.searchsorted(ends, stops)], each)
+            w, ids, pos = np.concatenate([w, of_word]), np.concatenate([ids, found[token]]), np.concatenate([pos, np.arange(len(token))])
+        self.db.register("word_tokens", pa.table({"w": w, "pos": pos, "id": ids}))
         out = self.db.sql(DECODE).to_arrow_table()
         for i, n, ids, raw in zip(*(c.to_pylist() for c in out.columns), strict=True):
             self.words[words[i]] = n, ids, raw
 
-    def _by_heap(self, word: bytes) -> list[int]:
-        """The same contraction in n log n: the leftmost pair of least rank, until none is left."""
-        ids = [self.id_of[word[i : i + 1]] for i in range(len(word))]
-        after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
-        rank = self.pair_rank.get
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(len(ids) - 1) if (r := rank((ids[i], ids[i + 1]))) is not None]
-        heapq.heapify(heap)
-        gone = [False] * len(ids)
-        while heap:
-            r, i, a, b = heapq.heappop(heap)
-            j = after[i]
-            if gone[i] or j >= len(ids) or ids[i] != a or ids[j] != b:
-                continue
-            ids[i], gone[j], after[i] = r, True, after[j]
-            if after[j] < len(ids):
-                before[after[j]] = i
-            for x in (before[i], i):
-                if x >= 0 and after[x] < len(ids) and (n := rank((ids[x], ids[after[x]]))) is not None:
-                    heapq.heappush(heap, (n, x, ids[x], ids[after[x]]))
-        return [n for n, off in zip(ids, gone, strict=True) if not off]
+    def _contract(self, segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all segments, one behind the other, and where each begins, with the end."""
+        ends = np.cumsum([len(x) for x in segments])
+        cut = np.zeros(ends[-1], dtype=bool)
+        cut[ends - 1] = True
+        self.db.register("bytes_of_words", pa.table({"pos": np.arange(ends[-1]), "byte": np.frombuffer(b"".join(segments), dtype=np.uint8), "cut": cut}))
+        found = self.db.sql(ENCODE).to_arrow_table()
+        at, ids = (found.column(i).to_numpy() for i in range(2))
+        return ids, np.concatenate([[0], np.searchsorted(at, ends)])
 
     def encode(self, texts: list[str | None]) -> list[list[tuple[int, str, bytes]]]:
         """For each text, its words as (number of ids, ids joined by commas, decoded bytes)."""
@@ -145,9 +190,15 @@ class Encoder:
                 size += len(split[-1])
                 if len(new) >= QUERY_WORDS or size > 2_000_000:
                     break
-            fresh = list(new)
-            for at in range(0, len(fresh), QUERY_WORDS):
-                self.learn(fresh[at : at + QUERY_WORDS])
+            part, held = [], 0
+            for word in new:
+                part.append(word)
+                held += len(word)
+                if len(part) == QUERY_WORDS or held > QUERY_BYTES:
+                    self.learn(part)
+                    part, held = [], 0
+            if part:
+                self.learn(part)
             get = self.words.__getitem__
             out += [list(map(get, words)) for words in split]
             start += len(split)
@@ -161,10 +212,9 @@ def byte_bpe(
 ) -> DataFrame:
     """Encodes every whole text and decodes the ids again: id_col, ids (array of int), decoded (binary).
 
-    Each match of pattern is one word. In every task, DuckDB joins a word's token-position rows
-    to the merge table and contracts the leftmost pair of least rank until none is left; an
-    ordered aggregation decodes. Words are encoded once while the worker process remembers them. Words of
-    over LONG_WORD bytes are contracted with a heap to the same result. finish and schema may
+    Each match of pattern is one word, of any length. In every task, DuckDB joins token-position rows
+    to the merge table and contracts what comes to each word's leftmost pair of least rank until none is left; an
+    ordered aggregation decodes. Words are encoded once while the worker process remembers them. finish and schema may
     replace the two result columns; finish gets a text's words as (number, ids, bytes).
 
     Null and empty texts: no ids, no bytes. Repeated rows and null ids are kept, an empty table

@@ -1,4 +1,6 @@
 import hashlib
+import random
+import time
 
 import public_tokenizers as P
 import tiktoken
@@ -25,6 +27,23 @@ def test_any_text_as_the_library(text):
     assert digests(ENCODER.encode([text])[0]) == library(text)
 
 
+def test_long_words_and_many_equal_ranks():
+    rng = random.Random(3)
+    short = ["in", "g", "n", "ing", "th", "e", "r", "的", "é"]
+    mixes = ["".join(rng.choice(short) for _ in range(rng.randint(1, 200))) for _ in range(400)]
+    letters = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(10_000))
+    for text, found in zip([*mixes, letters, "ng" * 5000, "a" * 10_001], ENCODER.encode([*mixes, letters, "ng" * 5000, "a" * 10_001]), strict=True):
+        assert digests(found) == library(text)
+
+
+def test_words_of_many_characters_take_little():
+    words = ["".join(map(chr, random.Random(k).choices(range(0x4E00, 0x5A00), k=70))) for k in range(3000)]
+    start = time.process_time()
+    found = ENCODER.encode(words)
+    assert time.process_time() - start < 3
+    assert all(digests(x) == library(w) for x, w in zip(found, words, strict=True))
+
+
 def test_words_longer_than_the_recursion_takes():
     for text in ("ab" * 400, "的" * 300, "$%" * 700, " " * 900 + "x", "thethethe" * 100):
         assert digests(ENCODER.encode([text])[0]) == library(text)
