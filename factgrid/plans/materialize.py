@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,24 +10,45 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one is made only where the session names none."""
+    """The folder of spark.checkpoint.dir. Where the session names none, one is made, but only for a local master."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     context = spark.sparkContext._jsc.sc()
     if context.getCheckpointDir().isEmpty():
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="factgrid-"))
     return context.getCheckpointDir().get()
 
 
+def _delete(spark: SparkSession, path: str, now: bool) -> None:
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if now:
+        system.delete(jpath, True)
+    else:
+        system.deleteOnExit(jpath)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df written as Parquet to the shared folder and read back, so that later steps prune columns and know its size.
 
-    The files go when the driver's JVM ends.
+    The files go with discard(), or when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return spark.read.schema(df.schema).parquet(path)
+    _delete(spark, path, now=False)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes the files of cuts that no frame will read again; other frames are left alone."""
+    for df in frames:
+        path = getattr(df, "_cut_path", None)
+        if path:
+            _delete(df.sparkSession, path, now=True)
+            df._cut_path = None
