@@ -11,19 +11,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_rows, materialize
-
-#: A document among the distinct texts. Its `rep`, the smallest id of the text and maybe null, gives its place in order.
-DOC = ["k1", "k2"]
+from factgrid.plans.materialize import discard
 
+from .common import map_rows, materialize
+from .hot_keys import join_counted
 
-def minimal_windows(words: list[int], least: int) -> list[list[int]]:
-    """For each line, lengths of the windows from it that hold `least` words and would not without their last, or first, line.
 
-    Every run of lines with at least `least` words is the union of such windows inside it: a line
-    of the run ends one of them, or lies in the one from the run's first line.
-    """
-    out: list[list[int]] = [[] for _ in words]
+def shortest_windows(words: list[int], least: int) -> list[int]:
+    """For each line, how many lines from it on hold `least` words; 0 if the rest of the text holds fewer."""
+    out = [0] * len(words)
     total = end = 0
     for start in range(len(words)):
         while total < least and end < len(words):
@@ -31,16 +27,8 @@ def minimal_windows(words: list[int], least: int) -> list[list[int]]:
             end += 1
         if total < least:
             break
-        out[start].append(end - start)
+        out[start] = end - start
         total -= words[start]
-    total = start = 0
-    for last, n in enumerate(words):
-        total += n
-        while total - words[start] >= least:
-            total -= words[start]
-            start += 1
-        if total >= least and last + 1 - start not in out[start]:
-            out[start].append(last + 1 - start)
     return out
 
 
@@ -53,7 +41,7 @@ def _text_keys(text: Column) -> list[Column]:
 
 
 def _ranks(rows: DataFrame) -> DataFrame:
-    """(r1, r2, rank) of the pairs that rows hold twice or more: how many rows of such pairs sort before.
+    """(r1, r2, rank, n) of the pairs that rows hold n times, twice or more; rank: how many rows of such pairs sort before.
 
     The rank of a pair is the place in the suffix array where its interval begins. Counts are added up in each
     range of sorted pairs, then over the ranges.
@@ -74,11 +62,64 @@ def _ranks(rows: DataFrame) -> DataFrame:
     # One row for each range, so this window is small however long the text is.
     ranges = summed.groupBy("range").agg(F.sum("n").alias("n"))
     before = ranges.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))
-    return materialize(summed.join(before, "range").select("r1", "r2", (F.col("before") + F.col("own")).alias("rank")))
+    ranked = materialize(summed.join(before, "range").select("r1", "r2", (F.col("before") + F.col("own")).alias("rank"), "n"))
+    discard(summed)
+    return ranked
+
+
+def _ranked(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """Of rows (doc, i, r1, r2), those of repeated pairs, with the pair's rank and the columns to keep."""
+    ranks = _ranks(rows)
+    out = materialize(join_counted(rows, ranks, ["r1", "r2"], "n").select("doc", "i", "rank", *keep))
+    discard(ranks)
+    return out
+
+
+def _doubled(level: DataFrame, k: int) -> DataFrame | None:
+    """Ranks of the runs of 2^k lines that are found twice or more, from those of half as many; None without any."""
+    right = level.select("doc", (F.col("i") - (1 << (k - 1))).alias("i"), F.col("rank").alias("r2"))
+    pairs = materialize(level.select("doc", "i", F.col("rank").alias("r1")).join(right, ["doc", "i"]))
+    longer = None if pairs.isEmpty() else _ranked(pairs, [])
+    discard(pairs)
+    return None if longer is None or longer.isEmpty() else longer
+
+
+def _name(*parts: Column | str) -> list[Column]:
+    return [F.xxhash64(F.lit(seed), *parts).alias(g) for seed, g in ((3, "g1"), (5, "g2"))]
+
+
+def _extend(rows: DataFrame, level: DataFrame, k: int) -> DataFrame:
+    """Intervals refined by the next 2^k lines of their suffixes.
+
+    rows: (g1, g2, doc, i, length, later): the suffix at (doc, i) is in interval (g1, g2), whose suffixes share `length` lines, and
+    later tells that another of them begins earlier. The suffixes of an interval whose next 2^k lines are equal, two or more, are an
+    interval of their own. All of them move there but the earliest, which is in both: in the old one it
+    stands for the others, which agree with it in those lines.
+    """
+    at = level.select("doc", F.col("i").alias("at"), "rank")
+    reached = materialize(rows.withColumn("at", F.col("i") + F.col("length")).join(at, ["doc", "at"], "left").drop("at"))
+    inside = ["g1", "g2", "rank"]
+    here = F.struct("doc", "i")
+    groups = materialize(reached.filter("rank IS NOT NULL").groupBy(*inside).agg(F.min(here).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    # Runs without a rank are in no longer interval; they don't take part in the join.
+    found = join_counted(reached.filter("rank IS NOT NULL"), groups, inside, "n", "left")
+    is_later = here != F.col("first")
+    old = F.struct("g1", "g2", "length", "later")
+    new = F.struct(*_name("g1", "g2", "rank", F.lit(k)), (F.col("length") + (1 << k)).alias("length"), is_later.alias("later"))
+    into = F.when(F.col("n").isNull(), F.array(old)).when(is_later, F.array(new)).otherwise(F.array(old, new))
+    stay = reached.filter("rank IS NULL").select("doc", "i", "g1", "g2", "length", "later")
+    out = materialize(stay.unionByName(found.select("doc", "i", F.explode(into).alias("x")).select("doc", "i", "x.*")))
+    discard(reached, groups, rows)
+    return out
 
 
 def repeated_runs(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """What stays of documents with a later copy: id, k1, k2, n_lines, kept array<struct<start, length>>."""
+    """What stays of documents with a later copy: id, k1, k2, n_lines, kept array<struct<start, length>>.
+
+    For each line that begins a repeated run of min_words words, the longest common prefix of its suffix with one that begins earlier
+    is found: prefix doubling ranks the repeated runs of 2^k lines; two ranks name the interval of the suffix
+    array that shares the first min_words words; and from the longest runs to the shortest, each level of ranks refines the intervals.
+    """
     id_type = docs.select(id_col).schema[0].dataType.simpleString()
     text = F.coalesce(docs[text_col], F.lit(""))
 
@@ -92,52 +133,61 @@ def repeated_runs(docs: DataFrame, id_col: str, text_col: str, min_words: int) -
                 out["words"].append(sum(words))
                 out["h1"].append([_signed(d >> 64) for d in digests])
                 out["h2"].append([_signed(d & (1 << 64) - 1) for d in digests])
-                out["windows"].append(minimal_windows(words, min_words))
+                out["windows"].append(shortest_windows(words, min_words))
             return out
 
         return step
 
-    schema = f"id {id_type}, k1 long, k2 long, words long, h1 array<long>, h2 array<long>, windows array<array<int>>"
+    schema = f"id {id_type}, k1 long, k2 long, words long, h1 array<long>, h2 array<long>, windows array<int>"
     lines = materialize(map_rows(docs.select(docs[id_col].alias("id"), text.alias("t"), *_text_keys(text)), start, schema))
 
-    # Equal texts are one document, that of the smallest id: a later copy goes whole if it has the words.
-    texts = materialize(
-        lines.groupBy("k1", "k2").agg(F.min(F.struct("id"))["id"].alias("rep"), F.first("h1").alias("h1"), F.first("h2").alias("h2"), F.first("windows").alias("windows")))
-    at = texts.select("rep", *DOC, F.posexplode(F.arrays_zip("h1", "h2", "windows")).alias("i", "line"))
-    at = at.select("rep", *DOC, "i", F.col("line.h1").alias("r1"), F.col("line.h2").alias("r2"), F.col("line.windows").alias("windows"))
+    # Equal texts are one document, that of the smallest id: a later copy goes whole if it has the words. Documents are numbered in order.
+    texts = lines.groupBy("k1", "k2").agg(F.min(F.struct("id"))["id"].alias("rep"), F.first("h1").alias("h1"), F.first("h2").alias("h2"), F.first("windows").alias("windows"), F.count(F.lit(1)).alias("copies"))
+    in_order = texts.repartitionByRange("rep", "k1", "k2").sortWithinPartitions("rep", "k1", "k2")
+    texts = materialize(in_order.withColumn("doc", F.monotonically_increasing_id()))
+    at = texts.select("doc", F.posexplode(F.arrays_zip("h1", "h2", "windows")).alias("i", "line"))
+    at = at.select("doc", "i", F.col("line.h1").alias("r1"), F.col("line.h2").alias("r2"), F.col("line.windows").alias("window"))
 
     # Prefix doubling: level k ranks the runs of 2^k lines that are found twice or more.
-    def ranked(rows: DataFrame, keep: list[str]) -> DataFrame:
-        return materialize(rows.join(_ranks(rows), ["r1", "r2"]).select(*DOC, "i", "rank", *keep))
-
-    level = ranked(at, ["rep", "windows"])
-    windows = level.select("rep", *DOC, "i", F.explode("windows").alias("length"))
-    longest = windows.agg(F.max("length")).first()[0] or 0
-    level = level.drop("rep", "windows")
-    levels = level.withColumn("k", F.lit(0))
-    for k in range(1, int(longest).bit_length()):
-        right = level.select(*DOC, (F.col("i") - (1 << (k - 1))).alias("i"), F.col("rank").alias("r2"))
-        pairs = materialize(level.withColumnRenamed("rank", "r1").join(right, [*DOC, "i"]))
-        if pairs.isEmpty():
-            break
-        level = ranked(pairs, [])
-        levels = levels.unionByName(level.withColumn("k", F.lit(k)))
+    level = _ranked(at, ["window"])
+    starts = level.filter("window > 0")
+    longest = starts.agg(F.max("window")).first()[0] or 0
+    levels = [level]
+    while 1 << len(levels) <= longest and (longer := _doubled(levels[-1], len(levels))) is not None:
+        levels.append(longer)
 
     # A window is an interval of the suffix array: two runs of 2^k lines that overlap or meet name it.
-    k = F.floor(F.log2(F.col("length").cast("double")) + 1e-9).cast("int")
-    windows = windows.withColumn("k", k).withColumn("first", F.col("i")).withColumn("second", F.expr("i + length - shiftleft(1, k)"))
+    k = F.floor(F.log2(F.col("window").cast("double")) + 1e-9).cast("int")
+    windows = starts.select("doc", "i", "window", k.alias("k")).withColumn("first", F.col("i")).withColumn("second", F.expr("i + window - shiftleft(1, k)"))
+    ranked = [x.select("doc", "i", "rank", F.lit(n).alias("k")) for n, x in enumerate(levels)]
+    of_level = ranked[0]
+    for x in ranked[1:]:
+        of_level = of_level.unionByName(x)
     for name in ("first", "second"):
-        windows = windows.join(levels.select(*DOC, "k", F.col("i").alias(name), F.col("rank").alias(f"{name}_rank")), [*DOC, "k", name])
-    found = materialize(windows.select("rep", *DOC, "i", "length", "first_rank", "second_rank"))
-    same = ["length", "first_rank", "second_rank"]
-    here = F.struct("rep", *DOC, "i")
-    earliest = materialize(found.groupBy(*same).agg(F.min(here).alias("earliest"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
-    later = found.join(earliest, same).filter(here != F.col("earliest"))
-    of_text = later.groupBy("k1", "k2").agg(F.collect_set(F.struct("i", "length")).alias("gone"))  # at most a few for each line of one text
-
-    counted = texts.select("k1", "k2", "rep", F.size("h1").alias("n_lines")).join(of_text, ["k1", "k2"], "left")
-    counted = materialize(counted)
-    each = lines.select("id", "k1", "k2", "words").distinct().join(counted, ["k1", "k2"])
+        windows = windows.join(of_level.select("doc", "k", F.col("i").alias(name), F.col("rank").alias(f"{name}_rank")), ["doc", "k", name])
+    same = ["window", "first_rank", "second_rank"]
+    found = materialize(windows.select("doc", "i", *same))
+    here = F.struct("doc", "i")
+    earliest = materialize(found.groupBy(*same).agg(F.min(here).alias("earliest"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    rows = join_counted(found, earliest, same, "n").select(*_name(*same), "doc", "i", F.col("window").alias("length"), (here != F.col("earliest")).alias("later"))
+    rows = materialize(rows)
+    discard(found, earliest)
+
+    # Longer runs are of interest in the texts with such windows only.
+    if not rows.isEmpty():
+        own = rows.select("doc").distinct()
+        top = materialize(levels[-1].join(own, "doc", "left_semi").select("doc", "i", "rank"))
+        discard(levels[-1])
+        levels[-1] = top
+        while (longer := _doubled(levels[-1], len(levels))) is not None:
+            levels.append(longer)
+        for n in range(len(levels) - 1, -1, -1):
+            rows = _extend(rows, levels[n], n)
+    discard(*levels)
+    of_text = rows.filter("later").groupBy("doc").agg(F.collect_set(F.struct("i", "length")).alias("gone"))  # at most a few for each line of one text
+
+    counted = materialize(texts.select("doc", "k1", "k2", "rep", F.size("h1").alias("n_lines"), "copies").join(of_text, "doc", "left").drop("doc"))
+    each = join_counted(lines.select("id", "k1", "k2", "words").distinct(), counted, ["k1", "k2"], "copies")
     copy = ~F.col("id").eqNullSafe(F.col("rep")) & (F.col("words") >= min_words)
     each = each.filter(copy | F.col("gone").isNotNull())
     whole = F.array(F.struct(F.lit(0).alias("i"), F.col("n_lines").alias("length")))
@@ -157,7 +207,9 @@ def repeated_runs(docs: DataFrame, id_col: str, text_col: str, min_words: int) -
         return step
 
     chosen = each.select("id", "k1", "k2", "n_lines", F.when(copy, whole).otherwise(F.col("gone")).alias("gone"))
-    return materialize(map_rows(chosen, complement, f"id {id_type}, k1 long, k2 long, n_lines int, kept array<struct<start int, length int>>"))
+    out = materialize(map_rows(chosen, complement, f"id {id_type}, k1 long, k2 long, n_lines int, kept array<struct<start int, length int>>"))
+    discard(rows, lines, texts, counted)
+    return out
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, counts: tuple[str, str] | None = None) -> DataFrame:

@@ -1,9 +1,10 @@
 import random
 import re
+import time
 
 import pytest
 
-from factgrid.llm.line_dedup import line_dedup, minimal_windows
+from factgrid.llm.line_dedup import line_dedup, shortest_windows
 from tests.llm.helpers import ODD, SF, docs
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -42,15 +43,27 @@ def test_every_run_against_brute_force(spark, seed):
     assert sorted((r.doc_id, r.text, r.gone) for r in got.collect()) == sorted(brute(rows, 8))
 
 
-def test_windows_cover_every_long_run():
+def test_windows_are_the_shortest_and_linear():
     rng = random.Random(4)
     for _ in range(300):
         words = [rng.choice([0, 0, 1, 2, 5, 9]) for _ in range(rng.randint(0, 12))]
-        windows = [(s, s + n) for s, lengths in enumerate(minimal_windows(words, 10)) for n in lengths]
-        for s in range(len(words)):
-            for e in range(s + 1, len(words) + 1):
-                inside = {x for a, b in windows if s <= a and b <= e for x in range(a, b)}
-                assert inside == (set(range(s, e)) if sum(words[s:e]) >= 10 else set())
+        for s, n in enumerate(shortest_windows(words, 10)):
+            ends = [e for e in range(s + 1, len(words) + 1) if sum(words[s:e]) >= 10]
+            assert n == (ends[0] - s if ends else 0)
+    start = time.perf_counter()
+    assert shortest_windows([50] + [0] * 100_000 + [50] * 100_000, 50)[:3] == [1, 100_001, 100_000]
+    assert time.perf_counter() - start < 1
+
+
+def test_blank_lines_and_long_runs(spark):
+    block = " ".join(f"w{i}" for i in range(50))
+    rows = [(1, block + "\n" * 4000), (2, block + "\n" * 3000 + "x"), (3, "y" + "\n" * 3000 + block + "\n" * 5000), (4, "\n" * 9000)]
+    got = {r.doc_id: r for r in line_dedup(docs(spark, rows), counts=("n", "gone")).collect()}
+    assert [got[i].gone for i in (1, 2, 3, 4)] == [0, 3000, 4001, 0] and got[2].text == "x" and got[3].text == "y" + "\n" * 2999 + "\n" * 1000
+    lines = [f"{i} and more" for i in range(700)]
+    rows = [(1, "\n".join(lines)), (2, "\n".join(["before", *lines[100:611], "after"])), (3, "\n".join([*lines[600:], *lines[:120]])), (4, "\n".join(lines[90:107]))]
+    got = line_dedup(docs(spark, rows), counts=("n", "gone"))
+    assert sorted((r.doc_id, r.text, r.gone) for r in got.collect()) == [(1, rows[0][1], 0), (2, "before\nafter", 511), (3, "", 220), (4, "", 17)]
 
 
 def test_odd_rows_and_columns(spark):
