@@ -10,7 +10,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factgrid.plans.materialize import discard
+
 from .common import materialize
+from .hot_keys import join_counted
+
+#: Buckets of more rows than a block whose counts are broadcast at most; rows alone in a bucket are worth a shuffle if they are more than one in so many.
+MAX_LARGE, ALONE_SHARE = 100_000, 4
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -33,23 +39,31 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.filter("x > n").join(least, "n").select(F.col("x").alias("u"), F.col("m").alias("v")).distinct()
         root = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(root, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        e = materialize(small.unionByName(root.select("u", F.col("m").alias("v"))).distinct())
+        last, e = e, materialize(small.unionByName(root.select("u", F.col("m").alias("v"))).distinct())
+        discard(last)
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
-def in_blocks(rows: DataFrame, keys: list[str], salt: str, block_rows: int) -> DataFrame:
+def in_blocks(rows: DataFrame, keys: list[str], salt: str, block_rows: int, alone_too: bool = False) -> DataFrame:
     """Keeps buckets (keys) of two rows or more and adds part_a, part_b so that any two rows of a bucket meet.
 
-    own is the row's part. Two rows of one part meet in every block of that part; in_first_block tells the one to count.
+    own is the row's part. Two rows of one part meet in every block of that part.
 
     A bucket of up to block_rows rows is one block. A larger one is dealt by the hash of column
-    salt into parts of about block_rows, and every two of its parts form a block of their own.
+    salt into parts of about block_rows, and every two of its parts form a block of their own. With alone_too, rows that are alone in a
+    bucket stay where they are few; then rows are not moved here: only the larger buckets' counts are sent to them, if these are few.
     """
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("bucket_rows")).filter("bucket_rows > 1")
-    parts = F.ceil(F.col("bucket_rows") / block_rows).cast("int")
+    counts = materialize(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("bucket_rows")))
+    large = F.col("bucket_rows") > block_rows
+    n, alone, n_large = counts.agg(F.coalesce(F.sum("bucket_rows"), F.lit(0)), F.count_if(F.col("bucket_rows") == 1), F.count_if(large)).first()
+    if alone_too and alone * ALONE_SHARE <= n and n_large <= MAX_LARGE:
+        counted = rows.join(F.broadcast(counts.filter(large)), keys, "left")
+    else:
+        counted = join_counted(rows, counts.filter("bucket_rows > 1"), keys, "bucket_rows")
+    parts = F.coalesce(F.ceil(F.col("bucket_rows") / block_rows).cast("int"), F.lit(1))
     own = F.pmod(F.xxhash64(F.lit(7), F.col(salt)), F.col("parts")).cast("int")
-    with_own = rows.join(counts, keys).withColumn("parts", parts).withColumn("own", own)
+    with_own = counted.withColumn("parts", parts).withColumn("own", own)
     others = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: p != F.col("own")))
     return (
         with_own.withColumn("other", F.explode(others))

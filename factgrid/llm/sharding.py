@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
+from .hot_keys import join_counted
 
 #: Bits of a dimension's ordinal, and of the hash that orders groups of one ordinal.
 ORDINAL_BITS, TIE_BITS = 10, 20
@@ -178,7 +179,7 @@ def kd_shards(
     while any(n.shards > 1 for n in nodes):
         groups, nodes = _split(groups, nodes, dims)
 
-    placed = rows.join(groups.select("hash", "crc", "size", F.col("node").alias("shard")), ["hash", "crc", "size"])
+    placed = join_counted(rows, groups.select("hash", "crc", "size", "n", F.col("node").alias("shard")), ["hash", "crc", "size"], "n").drop("n")
     # A shard's rows are numbered in parts, each from the count of rows in the parts before it.
     parts = max(8, math.ceil(total["n"] / count / SLOT_ROWS))
     placed = placed.withColumn("part", F.pmod(F.xxhash64("id", "hash"), F.lit(parts)))

@@ -17,6 +17,7 @@ from factgrid.plans.ship import ship_package
 
 from .common import map_rows, materialize
 from .components import connected_components, in_blocks, whole_groups
+from .hot_keys import join_counted, join_salted
 
 BITS = 64
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -319,20 +320,20 @@ def verified_links(fps: np.ndarray, label: np.ndarray, sets: list[np.ndarray], r
 
 
 def _verify(radius: int, n_words: int, similarity: float):
-    """verified_links of whole groups of rows (four key columns, fingerprint words, node, label, set)."""
+    """verified_links of whole groups of rows (four key columns, fingerprint words, node, label, set), as pairs of labels."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in whole_groups(batches, 4, VERIFY_ROWS):
             columns = [c.to_numpy().astype(np.int64, copy=False) for c in table.columns[4:-1]]
-            fps, node, label = np.column_stack(columns[:n_words]).view(np.uint64), columns[-2], columns[-1]
+            fps, label = np.column_stack(columns[:n_words]).view(np.uint64), columns[-1]
             sets = table.column(table.num_columns - 1)
             a, b = [], []
             for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
                 own = [x.values.to_numpy() for x in sets.slice(lo, hi - lo)]
                 for x, y in verified_links(fps[lo:hi], label[lo:hi], own, radius, similarity):
-                    a.append(node[lo + x])
-                    b.append(node[lo + y])
+                    a.append(label[lo + x])
+                    b.append(label[lo + y])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
 
     return run
@@ -413,7 +414,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return step
 
     prints = materialize(map_rows(docs.select(docs[id_col].alias("i"), docs[text_col].alias("t")), start, f"id {id_type}, fp long"))
-    classes = materialize(prints.groupBy("fp").agg(F.min("id").alias("rep")))
+    classes = materialize(prints.groupBy("fp").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")))
     bands = _bands(classes.count(), radius)
 
     def key(cuts: list[tuple[int, int]]):
@@ -423,14 +424,14 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return value
 
     rows = classes.select("fp", F.posexplode(F.array(*[key(b) for b in bands])).alias("band", "key"))
-    blocks = in_blocks(rows, ["band", "key"], "fp", BLOCK_ROWS).select("band", "key", "part_a", "part_b", "fp")
+    blocks = in_blocks(rows, ["band", "key"], "fp", BLOCK_ROWS, alone_too=True).select("band", "key", "part_a", "part_b", "fp")
     keys = ["band", "key", "part_a", "part_b"]
     links = blocks.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_compare(radius), "a long, b long")
     components = connected_components(links)
-    of_class = classes.join(components, classes["fp"] == components["node"], "left").select("fp", "rep", F.coalesce("component", "fp").alias("component"))
+    of_class = classes.join(components, classes["fp"] == components["node"], "left").select("fp", "rep", "n", F.coalesce("component", "fp").alias("component"))
     smallest = of_class.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = of_class.join(smallest, "component").select("fp", "component_id")
-    return prints.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = materialize(of_class.join(smallest, "component").select("fp", "n", "component_id"))
+    return join_counted(prints, named, ["fp"], "n").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def _differ(similarity: float) -> float:
@@ -450,8 +451,8 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Wide fingerprints find the candidates: texts that agree in any of their keys, each of KEY_BITS drawn bits or
     more for many texts (and then more keys, so that MISS holds at any size), are compared bit-sliced within a radius that similar texts rarely exceed.
     Each bucket sends out pairs that connect what is near in it, fewer than its rows, and each
-    such pair's shingles are compared exactly. Where some fail and leave a group in pieces, all its pairs
-    of candidates between pieces are compared.
+    such pair's shingles are compared exactly. A pair that fails may have stood for others: all pairs of candidates
+    between the two groups, and any other groups that such pairs touch, are compared in a second round.
 
     Texts of one shingle set (by a hash of 128 bits) are one class, as are texts without words. Ids are integers; rows of equal ids are one node, rows
     of null ids are left alone with a null component. Other columns are not read.
@@ -470,13 +471,13 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     frame = docs.select(docs[id_col].cast("long").alias("i"), docs[text_col].alias("t"))
     prints = materialize(map_rows(frame, start, "id long, " + ", ".join(f"{n} long" for n in names + same)))
-    classes = materialize(prints.filter("id IS NOT NULL").groupBy(*names, *same).agg(F.min("id").alias("rep")))
+    classes = materialize(prints.filter("id IS NOT NULL").groupBy(*names, *same).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")))
     bits = KEY_BITS + max(0, (classes.count() // (2048 << KEY_BITS)).bit_length())
     chosen = _chosen(bits, _keys_for(similarity, bits))
     keys = ["band", "key", "part_a", "part_b"]
     rows = classes.select(*names, "rep").mapInArrow(_drawn_keys(chosen), ", ".join(f"{n} long" for n in names) + ", rep long, band int, key long")
     # Another order in each band, so that a group is connected by other pairs there.
-    blocks = in_blocks(rows, ["band", "key"], "rep", BLOCK_ROWS).withColumn("order", F.xxhash64("band", "rep"))
+    blocks = in_blocks(rows, ["band", "key"], "rep", BLOCK_ROWS, alone_too=True).withColumn("order", F.xxhash64("band", "rep"))
     sorted_blocks = blocks.select(*keys, *names, "rep", "order").repartition(*keys).sortWithinPartitions(*keys, "order").drop("order")
     near = sorted_blocks.mapInArrow(_compare(_radius_of(similarity), WIDE), "a long, b long")
     pairs = materialize(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct())
@@ -492,26 +493,34 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     texts = frame.join(involved, F.col("i") == F.col("id"), "left_semi").groupBy("i").agg(F.max("t").alias("t"))
     sets = materialize(map_rows(texts, shingles, "id long, h array<long>"))
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("h").alias("ha")), "a").join(sets.select(F.col("id").alias("b"), F.col("h").alias("hb")), "b")
+    both = join_salted(pairs, sets.select(F.col("id").alias("a"), F.col("h").alias("ha")), "a", "b", pairs)
+    both = join_salted(both, sets.select(F.col("id").alias("b"), F.col("h").alias("hb")), "b", "a", pairs)
     common = F.size(F.array_intersect("ha", "hb"))
     links = materialize(both.filter(F.coalesce(common / (F.size("ha") + F.size("hb") - common), F.lit(1.0)) >= similarity).select("a", "b"))
-
-    # A pair that fails may have stood for others of its bucket. Where candidates hang together that links do not,
-    # every pair within the radius that is still apart is compared too, inside its bucket, so that no list of pairs is sent.
-    hang = connected_components(pairs).select(F.col("node").alias("rep"), F.col("component").alias("hang"))
     label = connected_components(links).select(F.col("node").alias("rep"), F.col("component").alias("label"))
-    labelled = materialize(hang.join(label, "rep", "left").select("rep", "hang", F.coalesce("label", "rep").alias("label")))
-    split = labelled.groupBy("hang").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("hang")
-    loose = classes.join(labelled.join(split, "hang", "left_semi").select("rep", "label"), "rep").select(*names, "rep", "label")
+    labelled = materialize(classes.select("rep").distinct().join(label, "rep", "left").select("rep", F.coalesce("label", "rep").alias("label")))
+
+    # A pair that fails may have stood for others of its bucket: near texts of two labels are connected there by pairs, some of which
+    # lead out of either label. So every pair within the radius between labels that such pairs touch is compared too,
+    # inside its bucket, so that no list of pairs is sent.
+    def labels_of(node: str) -> DataFrame:
+        return labelled.select(F.col("rep").alias(node), F.col("label").alias(f"{node}_label"))
+
+    sizes = labelled.groupBy("label").agg(F.count(F.lit(1)).alias("of_label"))
+    both = join_salted(join_salted(pairs, labels_of("a"), "a", "b", pairs), labels_of("b"), "b", "a", pairs).filter("a_label <> b_label")
+    touched = materialize(both.select(F.explode(F.array("a_label", "b_label")).alias("label")).distinct().join(sizes, "label"))
+    loose = classes.join(join_counted(labelled, touched, ["label"], "of_label"), "rep").select(*names, "rep", "label")
     rows = loose.mapInArrow(_drawn_keys(chosen), ", ".join(f"{n} long" for n in names) + ", rep long, label long, band int, key long")
     blocks = in_blocks(rows, ["band", "key"], "rep", VERIFY_ROWS).select(*keys, *names, F.col("rep").alias("node"), "label")
     form = "band int, key long, part_a int, part_b int, " + ", ".join(f"{n} long" for n in names) + ", node long, label long"
-    apart = blocks.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_apart(_radius_of(similarity), WIDE, chosen), form)
-    with_sets = materialize(apart).join(sets.select(F.col("id").alias("node"), "h"), "node").select(*keys, *names, "node", "label", "h")
+    near = blocks.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_apart(_radius_of(similarity), WIDE, chosen), form)
+    with_sets = materialize(near).join(sets.select(F.col("id").alias("node"), "h"), "node").select(*keys, *names, "node", "label", "h")
     more = with_sets.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_verify(_radius_of(similarity), WIDE, similarity), "a long, b long")
-    components = connected_components(links.unionByName(more))
-    named = classes.join(components, classes["rep"] == components["node"], "left").select(*same, F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(named, same, "left").select(F.col("id").alias(id_col), F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
+    joined = connected_components(materialize(more)).select(F.col("node").alias("label"), "component")
+    final = join_counted(labelled, materialize(joined.join(sizes, "label")), ["label"], "of_label", "left")
+    of_class = classes.join(final, "rep").select(*same, "n", F.coalesce("component", "label").alias("component_id"))
+    found = join_counted(prints, materialize(of_class), same, "n", "left")
+    return found.select(F.col("id").alias(id_col), F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
