@@ -36,7 +36,7 @@ def map_rows(df: DataFrame, fn: Callable[[], Callable[[dict], dict]], schema: st
     caches live as long as the task does.
     """
     ship_package(df.sparkSession)
-    arrow_schema = _arrow_schema(df.sparkSession, schema)
+    arrow = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = fn()
@@ -44,12 +44,12 @@ def map_rows(df: DataFrame, fn: Callable[[], Callable[[dict], dict]], schema: st
             for at in range(0, batch.num_rows, STEP_ROWS):
                 part = batch.slice(at, STEP_ROWS)
                 out = step({c: part.column(i).to_pylist() for i, c in enumerate(part.schema.names)})
-                yield pa.RecordBatch.from_pydict(out, schema=arrow_schema)
+                yield pa.RecordBatch.from_pydict(out, schema=arrow)
 
     return df.mapInArrow(run, schema)
 
 
-def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
+def arrow_schema(schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
