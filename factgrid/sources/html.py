@@ -186,7 +186,7 @@ def parse_sections(html: str) -> list[tuple[str, str, str]]:
                 current[2].append(text)
             continue
         if node.tag in HEADERS:
-            text = _element_text(node)
+            text = node.text()
             if len(text) > 3:
                 opened += 1
                 current = (f"sec_{opened}", f"{node.tag.upper()}: {text}", [])
@@ -223,7 +223,3 @@ def with_sections(pages: DataFrame, html_col: str = "html", snippet_col: str = "
 
     return cut.mapInArrow(run, schema)
 
-
-def title_of(html: Column) -> Column:
-    """The text of the first title element."""
-    return F.trim(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))
