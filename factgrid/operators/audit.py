@@ -146,11 +146,12 @@ def finalize(entities: DataFrame, cells: DataFrame, plan: DataFrame) -> tuple[Da
     fields = ranked.join(chosen, "run_id", "left").select("run_id", "ord", "field", (F.col("drop_rank") > F.coalesce("n_dropped", F.lit(0))).alias("kept"))
     kept_cells = valued(cells, fields.filter("kept")).groupBy("run_id", "ent_ord").agg(F.count_distinct("field").alias("n_filled"))
     rows = missing.join(chosen, "run_id").join(kept_cells, ["run_id", "ent_ord"], "left")
-    fullest = F.row_number().over(Window.partitionBy("run_id").orderBy(F.desc_nulls_last("n_filled"), "ent_ord"))
-    rows = rows.withColumn("full", fullest)
-    keep = F.when(F.col("n_complete") > 0, F.col("missing") <= F.col("n_dropped")).otherwise((F.col("full") <= MIN_ROWS) & F.col("n_filled").isNotNull())
+    complete = rows.filter((F.col("n_complete") > 0) & (F.col("missing") <= F.col("n_dropped")))
+    # Each task goes on with the fullest it has seen of a run, so no run is sorted whole for these.
+    fullest = F.row_number().over(Window.partitionBy("run_id").orderBy(F.desc("n_filled"), "ent_ord"))
+    fallback = rows.filter((F.col("n_complete") <= 0) & F.col("n_filled").isNotNull()).withColumn("full", fullest).filter(F.col("full") <= MIN_ROWS).drop("full")
     position = F.row_number().over(Window.partitionBy("run_id").orderBy(F.desc("confidence"), "ent_ord"))
-    return rows.filter(keep).withColumn("position", position.cast("long")).select("run_id", "ent_ord", "name", "confidence", "position"), fields
+    return complete.unionByName(fallback).withColumn("position", position.cast("long")).select("run_id", "ent_ord", "name", "confidence", "position"), fields
 
 
 def cacheable(rows: DataFrame, cells: DataFrame, fields: DataFrame, least: float = 0.7) -> DataFrame:
