@@ -48,7 +48,7 @@ def nearest(probes: DataFrame, cache: DataFrame, batch_rows: int = 4096, own: bo
             better = s[np.arange(len(a)), top] > score
             score[better] = s[np.arange(len(a)), top][better]
             best[better] = ids[b[at + top]][better]
-        on = best >= 0 if len(b) else np.zeros(len(a), dtype=bool)
+        on = score > -2.0  # ids may be negative
         return pa.table({"probe_id": pa.array(ids[a][on], pa.int64()), "best_id": pa.array(best[on], pa.int64()), "similarity": pa.array(score[on], pa.float64())})
 
     found = q.unionByName(c.select(*q.columns)).groupBy("batch", "part").applyInArrow(block, "probe_id long, best_id long, similarity double")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Characters of markup, the ampersand first.
+HTML_ENTITIES = {"&": "&amp;", "<": "&lt;", ">": "&gt;", '"': "&quot;", "'": "&#39;"}
 #: Least confidence of the bands, in order.
 BANDS = (("hi", 0.75), ("mid", 0.55))
 
@@ -21,6 +23,19 @@ def quoted(c: Column) -> Column:
     return F.concat(F.lit('"'), F.replace(F.coalesce(c.cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
 
 
+def html_escaped(c: Column) -> Column:
+    """Text for a page: the five characters of markup as entities, null as empty."""
+    out = F.coalesce(c.cast("string"), F.lit(""))
+    for sign, entity in HTML_ENTITIES.items():
+        out = F.replace(out, F.lit(sign), F.lit(entity))
+    return out
+
+
+def heading(field: Column) -> Column:
+    """A field's name as a column heading."""
+    return F.replace(field, F.lit("_"), F.lit(" "))
+
+
 def csv_lines(rows: DataFrame, cells: DataFrame, fields: DataFrame) -> DataFrame:
     """run_id, position, line: a header at position 0, then a line for each row: name, fields in order, confidence.
 

@@ -27,25 +27,23 @@ def _text(value: object) -> str | None:
     return value if isinstance(value, str) or value is None else str(value)
 
 
-def unwrap(data: object) -> list | None:
-    if isinstance(data, list):
-        return data
-    if isinstance(data, dict):
-        return next((data[k] for k in WRAPPERS if isinstance(data.get(k), list)), None)
-    return None
-
-
 def parse_entities(body: str | None) -> list | None:
     """The list of entities in a reply; of a reply that was cut off, those that were closed. None if there is none."""
     text = re.sub(r"\s*```$", "", re.sub(r"^```(?:json)?\s*", "", (body or "").strip())).strip()
+
+    def listed(parsed: object) -> list | None:
+        """The list itself, or the first that a wrapper key holds."""
+        held = [parsed, *map(parsed.get, WRAPPERS)] if isinstance(parsed, dict) else [parsed]
+        return next((x for x in held if isinstance(x, list)), None)
+
     try:
-        return unwrap(json.loads(text))
+        return listed(json.loads(text))
     except (ValueError, RecursionError):
         pass
     at = text.rfind("}")
     for ending in ENDINGS if at >= 0 else ():
         try:
-            found = unwrap(json.loads(text[: at + 1] + ending))
+            found = listed(json.loads(text[: at + 1] + ending))
         except (ValueError, RecursionError):
             continue
         if found:
@@ -120,6 +118,23 @@ def top_up(entities: DataFrame, more: DataFrame, least: int = MIN_YIELD) -> Data
     return entities.unionByName(new.select(*entities.columns))
 
 
+def top_up_plan(shards: DataFrame, n_pages: DataFrame, least: int = MIN_YIELD) -> DataFrame:
+    """run_id, n_batches, n_failures, n_entities, tops_up, falls_back, unavailable of each run with pages.
+
+    A run of fewer than `least` entities reads its first batch again: with the fallback model if every batch failed or was abandoned, since
+    then the first is most likely refused. unavailable: it has no entity, and a batch failed, which is not the same as pages that
+    hold nothing. shards: run_id, failed, n_entities. n_pages: run_id, n_pages.
+    """
+    seen = shards.groupBy("run_id").agg(
+        F.count(F.lit(1)).alias("n_batches"), F.count_if(F.coalesce("failed", F.lit(True))).alias("n_failures"), F.sum(F.when(F.coalesce("failed", F.lit(True)), 0).otherwise(F.col("n_entities"))).cast("long").alias("n_entities")
+    )
+    few = F.col("n_entities") < least
+    return n_pages.filter("n_pages > 0").select("run_id").join(seen, "run_id").select(
+        "run_id", "n_batches", "n_failures", "n_entities", few.alias("tops_up"),
+        (few & (F.col("n_failures") >= F.col("n_batches"))).alias("falls_back"), ((F.col("n_entities") == 0) & (F.col("n_failures") > 0)).alias("unavailable"),
+    )
+
+
 def before_cutoff(shards: DataFrame) -> DataFrame:
     """Shards with cutoff_ms and accepted: done by the first of the run, or by the deadline if that is earlier, plus the grace.
 

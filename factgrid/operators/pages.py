@@ -32,9 +32,9 @@ def usable_pages(pages: DataFrame, deadline_ms: int = DEADLINE_MS) -> DataFrame:
     return pages.filter((F.col("elapsed_ms") <= deadline_ms) & (F.length("content") > MIN_CONTENT))
 
 
-def source_rows(pages: DataFrame) -> DataFrame:
-    """What is shown of each source: domain, title cut to 90, characters, sections, whether it has structured data, detail."""
+def source_rows(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """What is shown of each source: domain, title cut to 90, characters, sections, whether it has structured data, detail; and columns to keep."""
     return pages.select(
-        "url", domain(F.col("url")).alias("domain"), F.left("title", F.lit(90)).alias("title"), F.length("content").cast("long").alias("chars"), F.size("sections").cast("long").alias("n_sections"),
+        *keep, "url", domain(F.col("url")).alias("domain"), F.left("title", F.lit(90)).alias("title"), F.length("content").cast("long").alias("chars"), F.size("sections").cast("long").alias("n_sections"),
         F.exists("sections", lambda s: s["sec_id"] == "sec_jsonld").alias("structured"), F.coalesce("error", F.lit("")).alias("detail"),
     )

@@ -26,6 +26,11 @@ def first_of_each_url(rows: DataFrame) -> DataFrame:
     return rows.filter(F.coalesce("url", F.lit("")) != "").groupBy("run_id", "url").agg(first).select("run_id", "f.query_ord", "f.rank", "url", "f.title", "f.snippet")
 
 
+def by_backend(keyed: DataFrame, unkeyed: DataFrame, runs: DataFrame) -> DataFrame:
+    """Results of each run from the backend that it may use: the keyed one where it has a key. runs: run_id, has_key."""
+    return keyed.join(runs.filter("has_key"), "run_id", "left_semi").unionByName(unkeyed.join(runs.filter("has_key"), "run_id", "left_anti").select(*keyed.columns))
+
+
 def second_round(seed: DataFrame, extra: DataFrame, least: int = MIN_SEED_RESULTS) -> DataFrame:
     """seed, and for runs with fewer than `least` results of it those of extra with new addresses."""
     few = seed.groupBy("run_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select("run_id")

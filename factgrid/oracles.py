@@ -224,10 +224,50 @@ SELECT run_id, batch, CAST(0 AS BIGINT) AS ord, p_name AS name, 'type' AS field,
 UNION ALL SELECT run_id, batch, 0, p_name, 'size', CAST(p_size AS VARCHAR), source_url, '' FROM v""",
     ),
     "topup_anti": """
-WITH e AS (SELECT p_brand AS run_id, p_name AS name, p_partkey AS k FROM part),
-a AS (SELECT * FROM e WHERE k % 20 = 0), b AS (SELECT run_id, upper(name) AS name, k FROM e WHERE k % 20 = 1)
+WITH e AS (SELECT p_brand AS run_id, p_name AS name, p_partkey AS k, CASE WHEN ascii(right(p_brand, 1)) % 2 = 0 THEN p_partkey % 2 = 0 ELSE p_partkey % 2000 = 1 END AS first FROM part),
+a AS (SELECT run_id, name, k FROM e WHERE first), b AS (SELECT run_id, upper(name) AS name, k FROM e WHERE NOT first)
 SELECT * FROM a UNION ALL
 SELECT * FROM b WHERE run_id NOT IN (SELECT run_id FROM a GROUP BY run_id HAVING count(*) >= 5) AND NOT EXISTS (SELECT 1 FROM a WHERE a.run_id = b.run_id AND lower(a.name) = lower(b.name))""",
+    "topup_plan": """
+WITH s AS (
+  SELECT concat(p_brand, '-', (p_partkey // 3) % 400) AS run_id, (p_partkey // 3) % 400 % 5 = 0 OR p_partkey % 7 = 0 AS failed, CAST(p_size % 3 AS BIGINT) AS n FROM part),
+r AS (SELECT run_id, count(*) AS n_batches, count(*) FILTER (failed) AS n_failures, CAST(coalesce(sum(n) FILTER (NOT failed), 0) AS BIGINT) AS n_entities FROM s GROUP BY run_id)
+SELECT *, n_entities < 4 AS tops_up, n_entities < 4 AND n_failures >= n_batches AS falls_back, n_entities = 0 AND n_failures > 0 AS unavailable FROM r""",
+    "retry_outcomes": _sql("events", """
+SELECT run_id, batch, NOT ok1 AND NOT ok2 AS failed, CASE WHEN ok1 THEN 'reply 1' WHEN ok2 THEN 'reply 2' END AS body, CAST(CASE WHEN ok1 THEN 1 ELSE 2 END AS BIGINT) AS n_attempts,
+       CAST(CASE WHEN ok1 THEN 0 WHEN a1 % 4 = 0 THEN 2000 ELSE 1000 END AS BIGINT) AS waited_ms, NOT ok1 AND a1 % 4 = 1 AS plain
+FROM (SELECT *, a1 % 4 NOT IN (0, 1) AND a1 % 8 <> 2 AS ok1, a2 % 4 NOT IN (0, 1) AND a2 % 8 <> 2 AS ok2
+      FROM (SELECT CAST(run_id AS VARCHAR) AS run_id, event_id AS batch, event_id + 3 AS a1, event_id + 6 AS a2 FROM source_events))"""),
+    "search_backend": _sql("results", """
+SELECT run_id, query_ord, rank, url, title, snippet FROM (
+  SELECT * FROM results WHERE url <> '' AND (CAST(substr(run_id, 4) AS INTEGER) % 2 = 0 OR query_ord = 1))
+QUALIFY row_number() OVER (PARTITION BY run_id, url ORDER BY query_ord, rank) = 1"""),
+    "run_events": """
+WITH s AS (SELECT CAST(s_suppkey AS VARCHAR) AS run_id, s_suppkey AS k, s_name, s_suppkey % 7 = 0 AS cached, CASE WHEN s_suppkey % 7 <> 0 AND s_suppkey % 11 = 3 THEN s_suppkey % 5 + 1 END AS stage FROM supplier),
+src AS (SELECT s.run_id, p_partkey AS own, concat('https://p.org/', p_partkey) AS url FROM part JOIN s ON s.k = p_partkey % (SELECT count(*) FROM supplier) + 1 WHERE NOT cached),
+ev AS (
+  SELECT run_id, 0 AS step, 0 AS own, 'status' AS event, '{"stage":0,"message":"Checking the cache"}' AS data FROM s
+  UNION ALL SELECT run_id, 1, 0, 'status', CASE WHEN cached THEN '{"stage":1,"message":"Found in the cache"}' ELSE '{"stage":1,"message":"Planning"}' END FROM s
+  UNION ALL SELECT run_id, 2, 0, 'plan', concat('{"entity_type":"thing","schema_fields":["name","size"],"search_queries":["', s_name, '"]}') FROM s WHERE NOT cached
+  UNION ALL SELECT run_id, 3, 0, 'status', '{"stage":2,"message":"Searching"}' FROM s WHERE NOT cached
+  UNION ALL SELECT run_id, 4, 0, 'status', concat('{"stage":2,"message":"Found ', k % 9, ' addresses"}') FROM s WHERE NOT cached
+  UNION ALL SELECT run_id, 5, 0, 'status', '{"stage":3,"message":"Reading pages"}' FROM s WHERE NOT cached
+  UNION ALL SELECT run_id, 6, own, 'source', concat('{"url":"', url, '"}') FROM src
+  UNION ALL SELECT run_id, 7, 0, 'status', concat('{"stage":3,"message":"Read ', k % 6, ' pages"}') FROM s WHERE NOT cached
+  UNION ALL SELECT run_id, 8, 0, 'status', '{"stage":4,"message":"Extracting"}' FROM s WHERE NOT cached
+  UNION ALL SELECT run_id, 9, 0, 'status', concat('{"stage":4,"message":"Extracted ', k % 5, ' records"}') FROM s WHERE NOT cached
+  UNION ALL SELECT run_id, 10, 0, 'status', '{"stage":5,"message":"Merging and scoring"}' FROM s WHERE NOT cached
+  UNION ALL SELECT run_id, 11, 0, 'status', '{"stage":5,"message":"Dropped 2 columns: size, color"}' FROM s WHERE NOT cached AND k % 2 = 0
+  UNION ALL SELECT run_id, 12, 0, 'results', concat('{"table":"table of ', s_name, '","entity_count":', k % 4, '}') FROM s
+  UNION ALL SELECT run_id, 13, 0, 'done', '{"message":"Done"}' FROM s),
+told AS (
+  SELECT ev.* FROM ev JOIN s USING (run_id) WHERE stage IS NULL OR step <= CASE stage WHEN 1 THEN 1 WHEN 2 THEN 3 WHEN 3 THEN 6 WHEN 4 THEN 8 ELSE 10 END
+  UNION ALL SELECT run_id, 99, 0, 'error', concat('{"message":"failed ', s_name, '"}') FROM s WHERE stage IS NOT NULL)
+SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY step, own) - 1 AS seq, event, data FROM told""",
+    "html_cells": _sql("cells", """SELECT run_id, ent_ord, concat(field, ' of it') AS heading, concat('&lt;b&gt;', replace(replace(name, '&', '&amp;'), chr(39), '&#39;'), '&lt;/b&gt; &amp; &quot;it&#39;s&quot;') AS shown,
+       coalesce(replace(value, '&', '&amp;'), '') AS value FROM cells"""),
+    "cache_append": "SELECT vec_id AS id, CASE WHEN vec_id % 2 = 0 THEN 2 ELSE 1 END * count(*) AS n, concat('query ', vec_id) AS query_text FROM embeddings GROUP BY vec_id",
+    "cache_clear": "SELECT count(*) AS n_before, CAST(0 AS BIGINT) AS n_after, count(*) FILTER (vec_id % 2 = 0) AS n_last FROM embeddings",
     "shard_deadline": _sql("events", "SELECT event_id, cutoff AS cutoff_ms, elapsed_ms <= cutoff AS accepted FROM (SELECT *, least(min(elapsed_ms) OVER (PARTITION BY substr(url, 1, 30)), 6500) + 2000 AS cutoff FROM source_events)"),
     "name_norm": _sql("cells groups", "SELECT run_id, ent_ord, name, norm FROM named"),
     "match_edges": _sql("cells groups", "SELECT * FROM edges"),
@@ -306,7 +346,7 @@ SELECT * FROM t
 _COSINE = """
 WITH near AS (
   SELECT p.vec_id AS probe_id, c.vec_id AS best_id, round(list_cosine_similarity(CAST(p.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 12) AS s
-  FROM embeddings p JOIN embeddings c ON p.vec_id % 50 = 0 AND c.vec_id % 50 <> 0),
+  FROM embeddings p JOIN embeddings c ON p.vec_id % 50 = 0 AND c.vec_id <> p.vec_id),
 top AS (SELECT probe_id, best_id, round(s, 6) AS similarity FROM near QUALIFY row_number() OVER (PARTITION BY probe_id ORDER BY s DESC, best_id) = 1)
 """
 ORACLE_SQL["knn_top1"] = _COSINE + "SELECT * FROM top"

@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factgrid.functions import text
-from factgrid.operators import audit, cache, export, extract, gapfill, merge, pages, route, search
+from factgrid.operators import audit, cache, export, extract, gapfill, merge, pages, retry, route, search
 from factgrid.plans import fixtures
+from factgrid.plans.materialize import shared_dir
 from factgrid.plans.table import final_tables
 from factgrid.sources import replies
 from factgrid.sources.html import with_sections
 from factgrid.streaming import events
 
+#: Short passages that a text is searched for at once.
+SHORT_PASSAGES = 500
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -58,7 +63,7 @@ def second_round_gate(spark: SparkSession, d: str) -> DataFrame:
 @query
 def url_domain(spark: SparkSession, d: str) -> DataFrame:
     p = fixtures.table(spark, d, "pages")
-    return p.select("page_id", text.domain(F.col("url")).alias("domain"), text.is_trusted(F.concat(F.col("url"), F.when(F.col("page_id") % 7 == 0, "").otherwise(""))).alias("trusted"))
+    return p.select("page_id", text.domain(F.col("url")).alias("domain"), text.is_trusted(F.col("url")).alias("trusted"))
 
 
 def _odd_urls(spark: SparkSession, d: str) -> DataFrame:
@@ -253,8 +258,42 @@ def build_cells(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def topup_anti(spark: SparkSession, d: str) -> DataFrame:
-    e = fixtures.table(spark, d, "part").select(F.col("p_brand").alias("run_id"), F.col("p_name").alias("name"), F.col("p_partkey").alias("k"))
-    return extract.top_up(e.filter("k % 20 = 0"), e.filter("k % 20 = 1").withColumn("name", F.upper("name")), 5)
+    """All parts in two lists: every other one of half of the brands and few of the other half come first."""
+    k = F.col("p_partkey")
+    e = fixtures.table(spark, d, "part").select(F.col("p_brand").alias("run_id"), F.col("p_name").alias("name"), k.alias("k"), F.when(F.ascii(F.substring("p_brand", -1, 1)) % 2 == 0, k % 2 == 0).otherwise(k % 2000 == 1).alias("first"))
+    return extract.top_up(e.filter("first").drop("first"), e.filter("NOT first").drop("first").withColumn("name", F.upper("name")), 5)
+
+
+def _shards(spark: SparkSession, d: str) -> DataFrame:
+    """Batches of runs of parts: some runs of which all fail, some of which few records come."""
+    k = F.col("p_partkey")
+    run = F.concat("p_brand", F.lit("-"), F.floor(k / 3 % 400).cast("string"))
+    failed = F.when(F.floor(k / 3 % 400) % 5 == 0, True).when(k % 7 == 0, True).otherwise(False)
+    return fixtures.table(spark, d, "part").select(run.alias("run_id"), k.alias("batch"), failed.alias("failed"), (F.col("p_size") % 3).cast("long").alias("n_entities"))
+
+
+@query
+def topup_plan(spark: SparkSession, d: str) -> DataFrame:
+    shards = _shards(spark, d)
+    return extract.top_up_plan(shards, shards.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_pages")))
+
+
+@query
+def retry_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """Three recorded attempts of a call for each event: successes, refusals, errors of a JSON mode; the third is beyond what is allowed."""
+    e = fixtures.source_events(spark, d).select("run_id", F.col("event_id").alias("batch"), F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("attempt"))
+    k = F.col("batch") + F.col("attempt") * 3
+    error = F.when(k % 4 == 0, "HTTP 429: too many").when(k % 4 == 1, "could not validate JSON").when(k % 8 == 2, "no route")
+    made = e.withColumn("error", error).withColumn("body", F.when(F.col("error").isNull(), F.concat(F.lit("reply "), F.col("attempt").cast("string"))))
+    return retry.retry_outcomes(made.withColumn("run_id", F.col("run_id").cast("string")))
+
+
+@query
+def search_backend(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of an even number have a key; the results of the others come from the second query alone."""
+    rows = fixtures.search_results(spark, d)
+    runs = rows.select("run_id").distinct().withColumn("has_key", F.substring("run_id", 4, 9).cast("int") % 2 == 0)
+    return search.first_of_each_url(search.by_backend(rows, rows.filter("query_ord = 1"), runs))
 
 
 @query
@@ -425,6 +464,56 @@ def sse_parse(spark: SparkSession, d: str) -> DataFrame:
     return f.select("seq", F.explode(events.parse_frames(buffer)).alias("x")).select("seq", "x.event", "x.data")
 
 
+@query
+def run_events(spark: SparkSession, d: str) -> DataFrame:
+    """Events of a run for each supplier: some from the cache, some that fail in a stage, all others to their end; parts are their sources."""
+    k = F.col("s_suppkey")
+    s = fixtures.table(spark, d, "supplier").select(k.cast("string").alias("run_id"), k.alias("k"), "s_name")
+    fresh = s.filter("k % 7 <> 0")
+    errors = fresh.filter("k % 11 = 3").select("run_id", (F.col("k") % 5 + 1).cast("int").alias("stage"), F.concat(F.lit("failed "), "s_name").alias("message"))
+    plans = fresh.select("run_id", F.lit("thing").alias("entity_type"), F.array(F.lit("name"), F.lit("size")).alias("fields"), F.array("s_name").alias("search_queries"))
+    p, n = fixtures.table(spark, d, "part"), s.count()
+    sources = p.select((F.col("p_partkey") % n + 1).alias("k"), F.col("p_partkey").alias("ord"), F.concat(F.lit("https://p.org/"), F.col("p_partkey").cast("string")).alias("url")).join(fresh.select("run_id", "k"), "k").select("run_id", "ord", "url")
+    dropped = F.when(F.col("k") % 2 == 0, F.array(F.lit("size"), F.lit("color"))).otherwise(F.array().cast("array<string>"))
+    counts = fresh.select("run_id", (F.col("k") % 9).alias("n_urls"), (F.col("k") % 6).alias("n_pages"), (F.col("k") % 5).alias("n_records"), dropped.alias("dropped"))
+    table = s.select("run_id", F.concat(F.lit("table of "), "s_name").alias("table_data"), (F.col("k") % 4).cast("long").alias("n_entities"), "k")
+    return events.run_events(s.select("run_id"), plans, sources, counts, table.filter("k % 7 <> 0").drop("k"), errors, table.filter("k % 7 = 0").drop("k"))
+
+
+@query
+def html_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Names and headings as a page shows them."""
+    c = fixtures.cells(spark, d)
+    odd = F.concat(F.lit("<b>"), "name", F.lit("</b> & \"it's\""))
+    return c.select("run_id", "ent_ord", export.heading(F.concat("field", F.lit("_of_it"))).alias("heading"), export.html_escaped(odd).alias("shown"), export.html_escaped(F.col("value")).alias("value"))
+
+
+def _stored(spark: SparkSession, d: str) -> DataFrame:
+    e = fixtures.table(spark, d, "embeddings")
+    return e.select(F.col("vec_id").alias("id"), F.concat(F.lit("query "), F.col("vec_id").cast("string")).alias("query_text"), "embedding", F.lit("{}").alias("table_data"))
+
+
+@query
+def cache_append(spark: SparkSession, d: str) -> DataFrame:
+    """A cache after two appends, of all vectors and again of those with an even id."""
+    rows, path = _stored(spark, d), f"{shared_dir(spark)}/cache-{uuid.uuid4().hex}"
+    cache.append(path, rows)
+    cache.append(path, rows.filter("id % 2 = 0"))
+    return spark.read.schema(rows.schema).parquet(path).groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("query_text").alias("query_text"))
+
+
+@query
+def cache_clear(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of a cache before it is cleared, after it, and after one more append."""
+    rows, path = _stored(spark, d), f"{shared_dir(spark)}/cache-{uuid.uuid4().hex}"
+    cache.append(path, rows)
+    before = spark.read.schema(rows.schema).parquet(path).count()
+    cache.clear(path, rows)
+    after = spark.read.schema(rows.schema).parquet(path).count()
+    cache.append(path, rows.filter("id % 2 = 0"))
+    return spark.read.schema(rows.schema).parquet(path).agg(F.lit(before).cast("long").alias("n_before"), F.lit(after).cast("long").alias("n_after"), F.count(F.lit(1)).alias("n_last"))
+
+
 @query
 def source_feed(spark: SparkSession, d: str) -> DataFrame:
     return events.source_feed(fixtures.source_events(spark, d))
@@ -488,8 +577,8 @@ def fence_strip(spark: SparkSession, d: str) -> DataFrame:
 def grounding_docs(spark: SparkSession, d: str) -> DataFrame:
     """Benchmark passages that documents hold word for word.
 
-    Three of its words in a row find candidates by equality; the whole passage decides. Passages of fewer than five words,
-    a few of a list of questions, are looked for in each text.
+    Three of its words in a row find candidates by equality; the whole passage decides. Passages of fewer than five words
+    are looked for in each text.
     """
     docs, bench = fixtures.table(spark, d, "documents").select("doc_id", "text"), fixtures.table(spark, d, "benchmark").select("item_id", F.col("text").alias("passage"))
     # A passage's second to fourth words stand between spaces, so they are whole words of any text that holds it.
@@ -503,6 +592,10 @@ def grounding_docs(spark: SparkSession, d: str) -> DataFrame:
     of_text = F.get(F.transform(F.array(F.split("text", " ")), shingles), F.lit(0))
     hit = docs.select("doc_id", F.explode(of_text).alias("probe")).join(probes.filter("probe IS NOT NULL").select("item_id", "probe"), "probe").select("doc_id", "item_id").distinct()
     long = hit.join(docs, "doc_id").join(bench, "item_id").filter(F.contains("text", F.col("passage"))).select("item_id", "doc_id")
-    short = probes.filter("probe IS NULL").agg(F.collect_list(F.struct("item_id", "passage")).alias("items"))
-    few = docs.crossJoin(F.broadcast(short)).select("doc_id", F.explode(F.filter("items", lambda x: F.contains(F.col("text"), x["passage"]))).alias("x")).select("x.item_id", "doc_id")
-    return long.unionByName(few)
+    # The others are a stated set of questions: in blocks, each of which every text meets once.
+    few = probes.filter("probe IS NULL").select("item_id", "passage")
+    n_blocks = max(1, -(-few.count() // SHORT_PASSAGES))
+    blocks = few.groupBy(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)).cast("int").alias("block")).agg(F.collect_list(F.struct("item_id", "passage")).alias("items"))
+    asked = docs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).join(blocks, "block")
+    found = asked.select("doc_id", F.explode(F.filter("items", lambda x: F.contains(F.col("text"), x["passage"]))).alias("x")).select("x.item_id", "doc_id")
+    return long.unionByName(found)

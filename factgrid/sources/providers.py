@@ -25,17 +25,17 @@ class FetchProvider(Protocol):
 
 class PlanProvider(Protocol):
     def plan(self, requests: DataFrame) -> DataFrame:
-        """requests (run_id, query) to plans (run_id, ord, field, synonyms)."""
+        """requests (run_id, query) to replies (run_id, body, failed); see replies.parse_plans."""
 
 
 class ExtractProvider(Protocol):
     def extract(self, prompts: DataFrame) -> DataFrame:
-        """prompts (run_id, batch, prompt) to replies (run_id, batch, body, failed)."""
+        """prompts (run_id, batch, prompt) to replies (run_id, batch, body, failed, and where known elapsed_ms)."""
 
 
 class GapFillProvider(Protocol):
     def fill(self, prompts: DataFrame) -> DataFrame:
-        """prompts (run_id, worker, holes_text, context) to filled (run_id, name, field, value, source_url, snippet)."""
+        """prompts (run_id, worker, holes_text, context) to replies (run_id, worker, body, failed, and where known elapsed_ms); see replies.parse_filled."""
 
 
 class EmbedProvider(Protocol):
@@ -62,6 +62,55 @@ class TableSearch:
         return best.join(self.pages.select("url", "title", F.left("text", F.lit(200)).alias("snippet")), "url").select("run_id", "query_ord", "rank", "url", "title", "snippet")
 
 
+class TableFetch:
+    """Fetches from a table of pages (url, html); what isn't there times out."""
+
+    def __init__(self, pages: DataFrame):
+        self.pages = pages
+
+    def fetch(self, hits: DataFrame) -> DataFrame:
+        there = F.col("html").isNotNull()
+        found = hits.join(self.pages.select("url", "html"), "url", "left")
+        return found.select(
+            "run_id", "page_ord", "url", "title", "snippet", F.when(there, 200).alias("status"), F.when(there, "text/html").alias("content_type"), "html",
+            F.when(~there, "timeout").alias("fetch_error"), F.lit(100).alias("elapsed_ms"),
+        )
+
+
+class TablePlan:
+    """Plans from a table (query, body); a query that isn't there has no plan."""
+
+    def __init__(self, plans: DataFrame):
+        self.plans = plans
+
+    def plan(self, requests: DataFrame) -> DataFrame:
+        found = requests.join(self.plans.select("query", "body"), "query", "left")
+        return found.select("run_id", "body", F.col("body").isNull().alias("failed"))
+
+
+class RuleFill:
+    """Fills holes from lines `name: X | field: value` of the context."""
+
+    def fill(self, prompts: DataFrame) -> DataFrame:
+        ship_package(prompts.sparkSession)
+
+        def run(batches):
+            for batch in batches:
+                bodies = []
+                for holes, context in zip(batch.column("holes_text").to_pylist(), batch.column("context").to_pylist(), strict=True):
+                    lacking = dict(line.removeprefix("- ").rsplit(": missing ", 1) for line in (holes or "").split("\n") if ": missing " in line)
+                    filled: dict[str, dict] = {}
+                    for line in (context or "").split("\n"):
+                        parts = dict(p.split(": ", 1) for p in line.split(" | ") if ": " in p)
+                        for field in lacking.get(parts.get("name", ""), "").split(", "):
+                            if field in parts:
+                                filled.setdefault(parts["name"], {}).setdefault(field, {"value": parts[field], "source_snippet": line[:200]})
+                    bodies.append(json.dumps({"filled": filled}))
+                yield pa.RecordBatch.from_arrays([batch.column("run_id"), batch.column("worker"), pa.array(bodies, pa.string()), pa.array([False] * len(bodies))], names=["run_id", "worker", "body", "failed"])
+
+        return prompts.select("run_id", F.col("worker").cast("long").alias("worker"), "holes_text", "context").mapInArrow(run, "run_id string, worker long, body string, failed boolean")
+
+
 class RuleExtract:
     """Reads `label: value` records out of prompts: lines of structured data, and plain lines of one field."""
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import http.server
 import json
 import random
+import threading
+import time
+from types import SimpleNamespace
 
 import pytest
 from hypothesis import given, settings
@@ -12,10 +16,14 @@ from pyspark.sql import functions as F
 
 from factgrid.functions import text
 from factgrid.operators import audit, cache, export, extract, gapfill, merge, pages, route, search
+from factgrid.operators.retry import call_with_retries
+from factgrid.plans.materialize import cut, shared_dir
 from factgrid.plans.run import run_topics
 from factgrid.plans.table import final_tables
+from factgrid.sources import services
 from factgrid.sources.html import jsonld_records, parse_sections, with_sections
-from factgrid.sources.providers import HashEmbed, RuleExtract, TableSearch
+from factgrid.sources.options import Options
+from factgrid.sources.providers import HashEmbed, RuleExtract, RuleFill, TableFetch, TablePlan, TableSearch
 from factgrid.streaming import events
 
 CELL = "run_id string, ent_ord long, name string, field string, value string, source_url string, snippet string"
@@ -74,6 +82,29 @@ def test_greedy_groups_are_those_of_the_sequential_scan(spark):
     assert {(r.run_id, r.ent_ord): r.pivot for r in got} == want
 
 
+def test_long_names_and_chains_of_names(spark):
+    long = "".join(random.Random(3).choices("abcdefgh", k=10_000))
+    names = [long, long[1000:9000], long[:6999], long[2000:9500], "x" + long[5:9000]]
+    chain = ["k" * 1400] + ["k" * n for n in range(700, 1000, 3)]
+    rows = [("long", i, n, "f", "v", "u", "") for i, n in enumerate(names)] + [("chain", i, n, "f", "v", "u", "") for i, n in enumerate(chain)]
+    want = {}
+    for run, listed in (("long", names), ("chain", chain)):
+        taken: dict[int, int] = {}
+        for i, a in enumerate(listed):
+            if i not in taken:
+                taken |= {j: i for j in range(i, len(listed)) if j not in taken and (j == i or same(a, listed[j]))}
+        want |= {(run, i): p for i, p in taken.items()}
+    got = merge.greedy_groups(merge.names(spark.createDataFrame(rows, CELL))).collect()
+    assert {(r.run_id, r.ent_ord): r.pivot for r in got} == want
+
+
+def test_a_path_of_matches_takes_few_rounds(spark, monkeypatch):
+    edges = spark.createDataFrame([("r", f"n{i + 1}", i + 1, f"n{i}", i) for i in range(999)], "run_id string, norm_a string, ord_a long, norm_b string, ord_b long")
+    monkeypatch.setattr(merge, "match_edges", lambda classes: edges)
+    entities = spark.createDataFrame([("r", i, f"n{i}", f"n{i}") for i in range(1000)], "run_id string, ent_ord long, name string, norm string")
+    assert {r.ent_ord: r.pivot for r in merge.greedy_groups(entities).collect()} == {i: i - i % 2 for i in range(1000)}
+
+
 def test_names_that_merge_and_names_that_do_not(spark):
     names = ["Ora", "Corallo", "Redis", "Redis Enterprise", "北京", "北京", "Joe's Pizza", "joes pizza!", "Joe's Pizzas"]
     got = merge.greedy_groups(merge.names(spark.createDataFrame([("r", i, n, "f", "v", "u", "") for i, n in enumerate(names)], CELL))).collect()
@@ -290,18 +321,6 @@ def test_tokenised_text_of_any_markup_is_parsed(markup):
     parse_sections(f"<div>{markup}</div><p>{markup}</p>")
 
 
-class TableFetch:
-    """Fetches from a table of pages (url, html); what isn't there times out."""
-
-    def __init__(self, pages_table):
-        self.table = pages_table
-
-    def fetch(self, hits):
-        found = hits.join(self.table, "url", "left")
-        there = F.col("html").isNotNull()
-        return found.select("run_id", "page_ord", "url", "title", "snippet", F.when(there, 200).alias("status"), F.when(there, "text/html").alias("content_type"), "html", F.when(~there, "timeout").alias("fetch_error"), F.lit(100).alias("elapsed_ms"))
-
-
 def test_topics_to_tables_with_stand_ins(spark):
     things = [("Alpha Cafe", "thai"), ("Beta Diner", "greek"), ("Gamma Grill", "thai")]
     record = lambda n, c: json.dumps({"name": n, "servesCuisine": c, "telephone": "1"})
@@ -316,6 +335,161 @@ def test_topics_to_tables_with_stand_ins(spark):
     assert done.unavailable().count() == 0
 
 
+class Silent:
+    """Refuses every extraction, or takes too long for it."""
+
+    def __init__(self, failed, elapsed):
+        self.failed, self.elapsed, self.asked = failed, elapsed, 0
+
+    def extract(self, prompts):
+        self.asked += prompts.count()
+        return prompts.select("run_id", "batch", F.lit('{"entities": []}').alias("body"), F.lit(self.failed).alias("failed"), F.lit(self.elapsed).alias("elapsed_ms"))
+
+
+def test_a_whole_run_plans_fills_caches_and_tells(spark, tmp_path):
+    things = [("Alpha Cafe", "thai"), ("Beta Diner", "greek"), ("Gamma Grill", "thai"), ("Delta Bar", "thai"), ("Eta Inn", "greek")]
+    page = lambda lines: "<html><body><h1>Places of the town</h1>" + "".join(f"<p>{x}</p>" for x in lines) + f"<p>{'and there is more to be said about them, ' * 6}</p></body></html>"
+    phone = [f"name: {n} | phone: {i}" for i, (n, _) in enumerate(things)]
+    html = [("https://a.org/1", page([f"name: {n} | cuisine: {c}" for n, c in things])), ("https://b.org/2", page(["cuisine, phone: what guides say", "cuisine", "<h2>Cuisine here</h2>"]) + page(phone))]
+    corpus = spark.createDataFrame([(u, "t", "restaurants in town", h) for u, h in html], "url string, title string, text string, html string")
+    fields = [(r, i, f, []) for r in ("r", "bad") for i, f in enumerate(["name", "cuisine", "phone"])]
+    plan = spark.createDataFrame(fields, "run_id string, ord int, field string, synonyms array<string>")
+    body = json.dumps({"entity_type": "restaurant", "schema_fields": ["name", "cuisine", "phone"], "search_queries": ["restaurants town"], "field_synonyms": {}})
+    plans = TablePlan(spark.createDataFrame([("restaurants", body), ("broken", "no plan")], "query string, body string"))
+    requests = spark.createDataFrame([("r", "restaurants", []), ("bad", "broken", []), ("short", "ab", [])], "run_id string, query string, planned array<string>")
+    path = str(tmp_path / "cache")
+    cache.clear(path, spark.createDataFrame([], "id long, query_text string, embedding array<float>, table_data string"))
+
+    def run(asked, extractor, **more):
+        return run_topics(asked, plans, TableSearch(corpus, 10), TableFetch(corpus), extractor, filler=RuleFill(), embedder=HashEmbed(64), cache_path=path, **more)
+
+    done = run(requests, RuleExtract(plan))
+    shown = {(r.name, r.field): r.value for r in done.tables.long().filter("run_id = 'r'").collect()}
+    assert shown == {(n, "cuisine"): c for n, c in things} | {(n, "phone"): str(i) for i, (n, _) in enumerate(things)}
+    told = [(r.event, json.loads(r.data)) for r in done.events.filter("run_id = 'r'").orderBy("seq").collect()]
+    assert [e for e, _ in told] == ["status", "status", "plan", "status", "status", "status", "source", "source", "status", "status", "status", "status", "results", "done"]
+    assert [d["stage"] for e, d in told if e == "status"] == [0, 1, 2, 2, 3, 3, 4, 4, 5] and told[4][1]["message"] == "Found 2 addresses"
+    assert [r.event for r in done.events.filter("run_id = 'bad'").orderBy("seq").collect()] == ["status", "status", "error"]
+    assert done.events.filter("run_id = 'short'").count() == 0 and done.unavailable().count() == 0
+    assert {r.query_text for r in spark.read.parquet(path).collect()} == {"restaurants"}
+
+    again = run(requests.filter("run_id = 'r'"), Silent(True, 1))
+    assert [(r.event, json.loads(r.data).get("entity_count")) for r in again.events.orderBy("seq").collect()] == [("status", None), ("status", None), ("results", 5), ("done", None)]
+    assert again.pages.count() == 0
+
+    cache.clear(path, spark.read.parquet(path))
+    other = Silent(True, 1)
+    lost = run(requests.filter("run_id = 'r'"), Silent(True, 1), fallback=other)
+    assert other.asked and [r.run_id for r in lost.unavailable().collect()] == ["r"] and lost.events.orderBy(F.desc("seq")).first().event == "error"
+    rescued = run(requests.filter("run_id = 'r'"), Silent(False, 9000), fallback=RuleExtract(plan))  # too late counts as failed
+    assert rescued.tables.rows.count() == 5 and rescued.unavailable().count() == 0
+
+
+def test_retries():
+    calls = []
+
+    def failing(errors):
+        def call(json_mode):
+            calls.append(json_mode)
+            if len(calls) <= len(errors):
+                raise RuntimeError(errors[len(calls) - 1])
+            return "body"
+
+        return call
+
+    for errors, want, waits, modes in (
+        ([], ("body", False), [], [True]), (["HTTP 429: slow down"], ("body", False), [2], [True, True]), (["could not validate JSON"], ("body", False), [1], [True, False]),
+        (["x", "HTTP 429"], (None, True), [1], [True, True]),
+    ):
+        calls.clear()
+        waited = []
+        assert call_with_retries(failing(errors), sleep=waited.append) == want and waited == waits and calls == modes
+
+
+@pytest.fixture
+def service():
+    """A server on this machine that answers searches, pages and chats; it refuses a chat's first call."""
+    seen = []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def answer(self, body):
+            seen.append((self.path, body, self.headers.get("X-API-KEY"), time.monotonic()))
+            if self.path == "/chat" and sum(p == "/chat" for p, *_ in seen) == 1:
+                return self.send_error(429)
+            if self.path == "/slow":
+                time.sleep(1.5)
+            content = {"/search": '{"organic": [{"link": "https://a.org/", "title": "T"}]}', "/chat": json.dumps({"choices": [{"message": {"content": '{"entities": []}'}}]})}.get(self.path)
+            content = content or '<div class="result"><h2 class="result__title"><a href="https://b.org/">B</a></h2></div>'
+            self.send_response(404 if self.path == "/none" else 200)
+            self.send_header("Content-Type", "text/html")
+            self.end_headers()
+            self.wfile.write(content.encode())
+
+        def do_GET(self):
+            self.answer("")
+
+        def do_POST(self):
+            self.answer(self.rfile.read(int(self.headers["Content-Length"])).decode())
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}", seen
+    server.shutdown()
+
+
+def test_services_over_http(spark, service):
+    url, seen = service
+    queries = spark.createDataFrame([("r", 1, "b c"), ("r", 0, "a")], "run_id string, query_ord int, query string")
+    keyed = services.choose_search(Options(search_key="k"), lambda key: services.KeyedSearch(f"{url}/search", key), None)
+    assert [(r.query_ord, r.url, r.title, r.snippet) for r in cut(keyed.search(queries)).orderBy("query_ord").collect()] == [(0, "https://a.org/", "T", ""), (1, "https://a.org/", "T", "")]
+    assert {k for p, _, k, _ in seen if p == "/search"} == {"k"} and sorted(json.loads(b)["q"] for p, b, *_ in seen if p == "/search") == ["a", "b c"]
+    paced = services.choose_search(Options(), None, services.PacedSearch(f"{url}/html?q="))
+    assert [(r.query_ord, r.url) for r in cut(paced.search(queries)).orderBy("query_ord").collect()] == [(0, "https://b.org/"), (1, "https://b.org/")]
+    asked = [(p, t) for p, _, _, t in seen if p.startswith("/html")]
+    assert [p for p, _ in asked][:2] == ["/html?q=a", "/html?q=b+c"] and asked[1][1] - asked[0][1] >= 0.4
+    assert services.KeyedSearch("http://127.0.0.1:9/none", "k").search(queries).count() == 0
+    hits = spark.createDataFrame([("r", i, u, "t", "s") for i, u in enumerate([f"{url}/page", f"{url}/none", f"{url}/slow", f"{url}/a.pdf", "https://facebook.com/x", "http://127.0.0.1:9/"])], "run_id string, page_ord long, url string, title string, snippet string")
+    got = {r.page_ord: r for r in pages.fetch_outcome(services.HttpFetch(1.0).fetch(hits)).collect()}
+    assert [got[i].error for i in range(5)] == [None, "HTTP 404", "timeout", "binary file", "blocked domain"] and got[5].fetch_error and "result" in got[0].html
+    chat = services.Chat(f"{url}/chat", "key", "model")
+    reply = services.ChatExtract(chat, "Read: {pages}").extract(spark.createDataFrame([("r", 0, "p")], "run_id string, batch long, prompt string")).first()
+    assert (reply.body, reply.failed) == ('{"entities": []}', False) and reply.elapsed_ms >= 2000
+    made = services.ModelEmbed("lengths", lambda: lambda texts: [[float(len(t))] for t in texts]).embed(spark.createDataFrame([(1, "ab"), (2, None)], "id long, text string"))
+    assert {r.id: r.embedding for r in made.collect()} == {1: [2.0], 2: [0.0]}
+
+
+def test_options(spark, monkeypatch):
+    monkeypatch.setenv("FACTGRID_SEARCH_KEY", "from environment")
+    assert Options.of(spark) == Options(None, "from environment", None)
+    spark.conf.set("spark.factgrid.search.key", "from session")
+    spark.conf.set("spark.factgrid.model.key", "m")
+    assert Options.of(spark) == Options("m", "from session", None) and Options.of(spark).needed_model_key() == "m"
+    spark.conf.unset("spark.factgrid.search.key")
+    spark.conf.unset("spark.factgrid.model.key")
+    with pytest.raises(ValueError, match="spark.factgrid.model.key"):
+        Options.of(spark).needed_model_key()
+
+
+def test_a_shared_folder_is_needed_on_a_cluster(monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+
+        class _jsc:
+            sc = staticmethod(lambda: SimpleNamespace(getCheckpointDir=lambda: SimpleNamespace(isEmpty=lambda: True)))
+
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=Context)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(session)
+
+
+def test_headers_keep_their_own_white_space():
+    (_, heading, _), = parse_sections("<h1>Big  news\n today</h1><p>A paragraph of some length  here.</p>")
+    assert heading == "H1: Big  news\n today"
+
+
 def test_copies_among_probes_are_found(spark, tmp_path):
     from factgrid.queries import QUERIES
 
