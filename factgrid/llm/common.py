@@ -56,6 +56,13 @@ def arrow_schema(schema: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(schema))
 
 
+def free_prefix(df: DataFrame, prefix: str) -> str:
+    """prefix, longer by as many underscores as it takes for no column of df to begin with it."""
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix
+
+
 def held_out(doc_id: Column) -> Column:
     """True where crc32 of the id as text leaves remainder 0 by 5: rows that labels are never learned from."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from factgrid.plans.materialize import discard
 
-from .common import map_rows, materialize
+from .common import free_prefix, map_rows, materialize
 from .hot_keys import join_counted
 
 
@@ -224,22 +224,23 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     compared as empty. Null ids come first. Rows of equal id and text are one document and
     are treated alike. An empty table gives an empty one.
     """
+    own = free_prefix(docs, "__ld")
     found = repeated_runs(docs, id_col, text_col, min_words).select(
-        F.col("id").alias("__ld_id"), F.col("k1").alias("__ld_k1"), F.col("k2").alias("__ld_k2"), F.col("n_lines").alias("__ld_n"), F.col("kept").alias("__ld_kept")
+        F.col("id").alias(f"{own}_id"), F.col("k1").alias(f"{own}_k1"), F.col("k2").alias(f"{own}_k2"), F.col("n_lines").alias(f"{own}_n"), F.col("kept").alias(f"{own}_kept")
     )
     text = F.coalesce(docs[text_col], F.lit(""))
     k1, k2 = _text_keys(text)
-    joined = docs.withColumn("__ld_1", k1).withColumn("__ld_2", k2)
+    joined = docs.withColumn(f"{own}_1", k1).withColumn(f"{own}_2", k2)
     # Never broadcast: what is found grows with the documents. Texts are not sorted by a hash join.
     joined = joined.join(
-        found.hint("shuffle_hash"), joined[id_col].eqNullSafe(F.col("__ld_id")) & (F.col("__ld_1") == F.col("__ld_k1")) & (F.col("__ld_2") == F.col("__ld_k2")), "left"
+        found.hint("shuffle_hash"), joined[id_col].eqNullSafe(F.col(f"{own}_id")) & (F.col(f"{own}_1") == F.col(f"{own}_k1")) & (F.col(f"{own}_2") == F.col(f"{own}_k2")), "left"
     )
     lines = F.split(F.col(f"`{text_col}`"), "\n")
-    kept = F.flatten(F.transform("__ld_kept", lambda x: F.slice(lines, x["start"] + 1, x["length"])))
-    replaced = F.when(F.col("__ld_kept").isNull() | F.col(f"`{text_col}`").isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join(kept, "\n"))
+    kept = F.flatten(F.transform(f"{own}_kept", lambda x: F.slice(lines, x["start"] + 1, x["length"])))
+    replaced = F.when(F.col(f"{own}_kept").isNull() | F.col(f"`{text_col}`").isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join(kept, "\n"))
     out = [replaced.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
     if counts:
-        n = F.coalesce(F.col("__ld_n").cast("long"), F.size(F.split(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), "\n")).cast("long"))
-        left = F.coalesce(F.aggregate("__ld_kept", F.lit(0).cast("long"), lambda a, x: a + x["length"]), n)
+        n = F.coalesce(F.col(f"{own}_n").cast("long"), F.size(F.split(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), "\n")).cast("long"))
+        left = F.coalesce(F.aggregate(f"{own}_kept", F.lit(0).cast("long"), lambda a, x: a + x["length"]), n)
         out += [n.alias(counts[0]), (n - left).alias(counts[1])]
     return joined.select(*out)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from factgrid.plans.ship import ship_package
 
-from .common import map_rows, materialize
+from .common import free_prefix, map_rows, materialize
 from .components import connected_components, in_blocks, whole_groups
 from .hot_keys import join_counted, join_salted
 
@@ -529,8 +529,9 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Repeated rows of that id leave one; rows of null ids all stay. settings: those of similar_components.
     """
     found = similar_components(docs, id_col, text_col, **settings)
-    kept = found.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__kept")).distinct()
-    joined = docs.join(kept, docs[id_col] == kept["__kept"], "left_semi")
+    name = free_prefix(docs, "__nd")
+    kept = found.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias(name)).distinct()
+    joined = docs.join(kept, docs[id_col] == kept[name], "left_semi")
     order = Window.partitionBy(id_col).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    first = joined.withColumn("__n", F.row_number().over(order)).filter("__n = 1").drop("__n")
+    first = joined.withColumn(name, F.row_number().over(order)).filter(F.col(name) == 1).drop(name)
     return first.unionByName(docs.filter(docs[id_col].isNull()))

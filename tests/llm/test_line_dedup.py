@@ -69,7 +69,7 @@ def test_blank_lines_and_long_runs(spark):
 def test_odd_rows_and_columns(spark):
     passage = "\n".join(f"line {i} of a passage that many documents share with each other" for i in range(6))
     rows = [*ODD, (10, "before\n" + passage), (11, passage + "\nafter"), (None, passage), (12, passage), (12, passage)]
-    d = docs(spark, rows).selectExpr("*", "1 AS k1", "2 AS rep", "3 AS __n", "4 AS kept")
+    d = docs(spark, rows).selectExpr("*", "1 AS k1", "2 AS rep", "3 AS __n", "4 AS kept", "5 AS __ld_1", "6 AS __ld_n")
     got = line_dedup(d)
     assert got.columns == d.columns
     texts = sorted((r.doc_id, r.text) for r in got.filter("doc_id >= 10 OR doc_id <= 3").collect())

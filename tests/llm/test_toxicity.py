@@ -1,4 +1,7 @@
+import itertools
+import math
 import random
+from collections import Counter
 
 import numpy as np
 
@@ -52,6 +55,30 @@ def test_label_model_discounts_correlated_voters():
     assert ((post > 0.5) == y).mean() > 0.93
 
 
+def test_label_model_is_bayes_over_every_pattern_of_votes():
+    rng = np.random.default_rng(4)
+    y = rng.random(4000) < 0.25
+    votes = np.column_stack([np.where(y, rng.random(4000) < p, rng.random(4000) < q) for p, q in ((0.7, 0.05), (0.6, 0.1), (0.5, 0.02))]).astype(float)
+    post = label_model(votes, np.where(votes.any(axis=1), 0.9, 0.05), 0.25, rounds=400)
+    every = np.hstack([votes, ~votes.any(axis=1, keepdims=True)])
+    chance = [(np.clip((post @ every + 1) / (post.sum() + 8), 1e-4, 0.999)), np.clip(((1 - post) @ every + 0.1) / ((1 - post).sum() + 2), 1e-5, 0.999)]
+    # What the label leaves unexplained goes together in some voters, which share their evidence.
+    rest = [every[:, k] - post * chance[0][k] - (1 - post) * chance[1][k] for k in range(4)]
+    together = [[float(a @ b / math.sqrt((a @ a) * (b @ b))) for b in rest] for a in rest]
+    weight = [1 / (1 + sum(c for j, c in enumerate(row) if j != i and c >= 0.1)) for i, row in enumerate(together)]
+    # Both labels of each pattern: what its votes say, times odds that make the mean the prior.
+    odds_of = {p: math.prod((chance[0][k] / chance[1][k]) ** weight[k] for k in range(4) if (*p, not any(p))[k]) for p in itertools.product((0, 1), repeat=3)}
+    counts = Counter(map(tuple, votes.astype(int).tolist()))
+    low, high = 1e-9, 1e9
+    for _ in range(200):
+        odds = math.sqrt(low * high)
+        mean = sum(n * odds * odds_of[p] / (1 + odds * odds_of[p]) for p, n in counts.items()) / 4000
+        low, high = (odds, high) if mean < 0.25 else (low, odds)
+    for p in counts:
+        got = post[(votes == np.array(p)).all(axis=1)]
+        assert np.ptp(got) < 1e-9 and abs(got[0] - odds * odds_of[p] / (1 + odds * odds_of[p])) < 1e-3
+
+
 def test_odd_rows_and_missing_labels(spark):
     labels = spark.createDataFrame([(1, None, None), (None, 1, 1), (4, 1, 7)], "doc_id long, quality int, toxic int")
     d = docs(spark, [*ODD, (50, "You are a stupid, worthless idiot."), (51, "A quiet day.")])
