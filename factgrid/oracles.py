@@ -264,6 +264,8 @@ told AS (
   SELECT ev.* FROM ev JOIN s USING (run_id) WHERE stage IS NULL OR step <= CASE stage WHEN 1 THEN 1 WHEN 2 THEN 3 WHEN 3 THEN 6 WHEN 4 THEN 8 ELSE 10 END
   UNION ALL SELECT run_id, 99, 0, 'error', concat('{"message":"failed ', s_name, '"}') FROM s WHERE stage IS NOT NULL)
 SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY step, own) - 1 AS seq, event, data FROM told""",
+    "frames_stream": _sql("events", "SELECT run_id, frame AS value FROM frames"),
+    "embed_texts": "SELECT doc_id AS id, " + ", ".join(f"length(t) - length(replace(t, '{v}', '')) AS n_{v}" for v in "aeiou") + " FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)",
     "html_cells": _sql("cells", """SELECT run_id, ent_ord, concat(field, ' of it') AS heading, concat('&lt;b&gt;', replace(replace(name, '&', '&amp;'), chr(39), '&#39;'), '&lt;/b&gt; &amp; &quot;it&#39;s&quot;') AS shown,
        coalesce(replace(value, '&', '&amp;'), '') AS value FROM cells"""),
     "cache_append": "SELECT vec_id AS id, CASE WHEN vec_id % 2 = 0 THEN 2 ELSE 1 END * count(*) AS n, concat('query ', vec_id) AS query_text FROM embeddings GROUP BY vec_id",

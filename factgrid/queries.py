@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from factgrid.functions import text
 from factgrid.operators import audit, cache, export, extract, gapfill, merge, pages, retry, route, search
 from factgrid.plans import fixtures
-from factgrid.plans.materialize import shared_dir
+from factgrid.plans.materialize import cut, shared_dir
 from factgrid.plans.table import final_tables
-from factgrid.sources import replies
+from factgrid.sources import replies, services
 from factgrid.sources.html import with_sections
 from factgrid.streaming import events
 
@@ -480,6 +480,23 @@ def run_events(spark: SparkSession, d: str) -> DataFrame:
     return events.run_events(s.select("run_id"), plans, sources, counts, table.filter("k % 7 <> 0").drop("k"), errors, table.filter("k % 7 = 0").drop("k"))
 
 
+@query
+def frames_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Events as a stream of files, and their frames as another."""
+    made, out = cut(_run_events(spark, d)), f"{shared_dir(spark)}/frames-{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(made.schema).parquet(made._cut_path)
+    events.write_frames(stream, out, f"{out}-state", once=True).awaitTermination()
+    return spark.read.schema("run_id long, value string").parquet(out)
+
+
+@query
+def embed_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of an encoder that each worker loads once; this one counts vowels."""
+    texts = fixtures.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    made = services.ModelEmbed("vowels", lambda: lambda batch: [[float(t.count(v)) for v in "aeiou"] for t in batch]).embed(texts)
+    return made.select("id", *[F.get("embedding", F.lit(i)).cast("long").alias(f"n_{v}") for i, v in enumerate("aeiou")])
+
+
 @query
 def html_cells(spark: SparkSession, d: str) -> DataFrame:
     """Names and headings as a page shows them."""

@@ -105,6 +105,7 @@ def settle_stream(started: DataFrame, ended: DataFrame, deadline_ms: int = DEADL
     return a.join(b, on, "leftOuter").select("run_id", "url", "fetch_ts", "end_ts", F.coalesce("settle_status", F.lit("timeout")).alias("status"))
 
 
-def write_frames(stream: DataFrame, path: str, checkpoint: str):
-    """Starts a query that appends the frames of an event stream to Parquet files, exactly once for each batch."""
-    return frames(stream).select("run_id", F.col("frame").alias("value")).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").start()
+def write_frames(stream: DataFrame, path: str, checkpoint: str, once: bool = False):
+    """Starts a query that appends the frames of an event stream to Parquet files, exactly once for each batch; with once, of what is there now."""
+    writer = frames(stream).select("run_id", F.col("frame").alias("value")).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
+    return (writer.trigger(availableNow=True) if once else writer).start()
