@@ -391,3 +391,21 @@ ORACLE_SQL["filled_replies"] = """
 SELECT CAST(p_partkey AS VARCHAR) AS run_id, p_name AS name, 'type' AS field, p_type AS value, 'u' AS source_url, 's' AS snippet FROM part
 UNION ALL SELECT CAST(p_partkey AS VARCHAR), p_name, 'size', CAST(p_size AS VARCHAR), 'u', '' FROM part WHERE p_partkey % 3 <> 0
 """
+
+#: The pages of the test tables hold one article with a header and paragraphs, some of them never closed: those hold all that follows.
+ORACLE_SQL["html_sections"] = _sql(
+    "raw_pages",
+    r"""
+, art AS (SELECT page_id, regexp_extract(html, '(?s)<article[^>]*>(.*)</article>', 1) AS a FROM ladder WHERE error IS NULL),
+body AS (SELECT page_id, regexp_extract(a, '(?s)<h1[^>]*>(.*?)</h1>', 1) AS header, substr(a, strpos(a, '</h1>') + 5) AS rest FROM art),
+token AS (SELECT page_id, unnest(ts) AS t, unnest(generate_series(1, len(ts))) AS i FROM (SELECT page_id, regexp_extract_all(rest, '(?s)<[^>]*>|[^<]+') AS ts FROM body)),
+deep AS (SELECT *, sum(CASE WHEN regexp_matches(t, '^<p[ >]') THEN 1 WHEN t = '</p>' THEN -1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY i) AS depth FROM token),
+block AS (SELECT *, sum(CASE WHEN depth = 1 AND regexp_matches(t, '^<p[ >]') THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY i) AS b FROM deep),
+plain AS (
+  SELECT page_id, b, i, trim(replace(replace(replace(replace(t, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), ' ' || chr(9) || chr(10) || chr(13)) AS t
+  FROM block WHERE depth > 0 AND t NOT LIKE '<%'),
+line AS (SELECT page_id, b, trim(regexp_replace(string_agg(t, ' ' ORDER BY i), '\s{2,}', ' ', 'g')) AS t FROM plain WHERE t <> '' GROUP BY ALL),
+sec AS (SELECT page_id, left(string_agg(t, chr(10) ORDER BY b), 6000) AS text FROM line WHERE length(t) > 2 GROUP BY page_id)
+SELECT page_id, CAST(0 AS BIGINT) AS sec_ord, 'sec_1' AS sec_id, CASE WHEN length(text) < 200 THEN '' ELSE concat('H1: ', trim(replace(header, '&amp;', '&'))) END AS heading, text
+FROM sec JOIN body USING (page_id) WHERE length(text) > 10""",
+)
