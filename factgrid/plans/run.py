@@ -46,7 +46,7 @@ def _first_hits(asked: DataFrame, searcher: SearchProvider) -> DataFrame:
     few = asked.join(seed.groupBy("run_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= search.MIN_SEED_RESULTS), "run_id", "left_anti")
     more = few.select("run_id", F.posexplode(search.extra_queries(F.col("query"), F.col("planned"))).alias("at", "query"))
     extra = cut(searcher.search(more.select("run_id", (F.col("at") + 1).alias("query_ord"), "query")))
-    return cut(search.second_round(seed, extra.select(*seed.columns)))
+    return cut(search.second_round(seed, search.first_of_each_url(extra)))
 
 
 def _read_pages(hits: DataFrame, fetcher: FetchProvider) -> DataFrame:

@@ -498,3 +498,29 @@ def test_copies_among_probes_are_found(spark, tmp_path):
     got = {r.probe_id: r.best_id for r in QUERIES["knn_top1"](spark, str(tmp_path)).collect()}
     assert got == {50: 7, 100: 150, 150: 100}
     assert QUERIES["cache_misses"](spark, str(tmp_path)).filter("hit").first().n == 2
+
+
+def test_second_round_takes_hits_as_they_come(spark, tmp_path):
+    import duckdb
+
+    from factgrid.oracles import ORACLE_SQL
+    from factgrid.queries import QUERIES
+
+    urls = {3: "a", 63: "a", 23: "b", 43: "b", 83: "a", 60: "c", 120: "c", 180: "d", 240: "e", 300: "f", 20: "g", 0: "h"}
+    spark.createDataFrame(list(urls.items()), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted(tuple(r) for r in QUERIES["second_round_gate"](spark, str(tmp_path)).select("run_id", "query_ord", "rank", "url", "title", "snippet").collect())
+    assert [r[:4] for r in got] == [("src0", 1, k, urls[k]) for k in (60, 120, 180, 240, 300)] + [("src3", 0, 23, "b"), ("src3", 0, 43, "b"), ("src3", 1, 3, "a"), ("src3", 1, 63, "a")]
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert got == sorted(duck.execute(ORACLE_SQL["second_round_gate"]).fetchall())
+
+
+def test_hits_of_a_topic_have_each_address_once(spark):
+    from factgrid.plans.run import _first_hits
+
+    class Repeats:
+        def search(self, queries):
+            return queries.select("run_id", "query_ord", F.posexplode(F.split(F.when(F.col("query_ord") == 0, "a,a,,b").otherwise("b,c,c,"), ",")).alias("rank", "url"), F.lit("t").alias("title"), F.lit("s").alias("snippet"))
+
+    asked = spark.createDataFrame([("r", "q", ["x", "y"])], "run_id string, query string, planned array<string>")
+    assert sorted((r.query_ord, r["rank"], r.url) for r in _first_hits(asked, Repeats()).collect()) == [(0, 0, "a"), (0, 3, "b"), (1, 1, "c")]
