@@ -5,6 +5,7 @@ from factgrid.llm.line_dedup import line_dedup
 from factgrid.llm.quality_rules import quality_rules
 from factgrid.llm.simhash import similar_components
 from factgrid.llm.toxicity import toxicity
+from factgrid.plans import materialize
 
 from tests.llm.helpers import ODD, docs as documents
 
@@ -62,3 +63,22 @@ def test_odd_rows_empty_tables_and_other_columns_go_through_every_stage(spark, t
         else:  # 200 is a copy of 101; line dedup empties it first, as it does the repeated lines of 300
             kept = {r.doc_id for r in rows_left}
             assert {101, 102} <= kept and not {1, 2, 3, 4, 7, 8} & kept
+
+
+def test_cuts_free_what_finished_jobs_left_on_the_driver(spark, monkeypatch, tmp_path):
+    collectors = list(spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans())
+    monkeypatch.setattr(materialize, "shared_dir", lambda s: str(tmp_path))
+    cleared = []
+    clear = materialize.clear_driver
+    monkeypatch.setattr(materialize, "clear_driver", lambda s: cleared.append(clear(s)))
+
+    def whole_collections(share):
+        monkeypatch.setattr(materialize, "HEAP_SHARE", share)
+        before = sum(c.getCollectionCount() for c in collectors if "Old" in c.getName())
+        for n in range(materialize.LOOK_EVERY):
+            assert materialize.cut(spark.range(n)).count() == n
+        return sum(c.getCollectionCount() for c in collectors if "Old" in c.getName()) - before
+
+    whole_collections(2)
+    assert not cleared  # a heap with room is left alone
+    assert whole_collections(0) >= 1 and len(cleared) == 1
